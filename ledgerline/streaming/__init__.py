@@ -1,0 +1 @@
+"""Empty: no streaming query is in scope."""
