@@ -23,9 +23,8 @@ def hundredths(amount: Column) -> Column:
     error, as rounding it would change the totals without notice.
     """
     units = F.rint(amount * 100).cast("bigint")
-    inexact = ~(units / 100).eqNullSafe(amount)
     return F.when(
-        inexact,
+        units / 100 != amount,
         F.raise_error(
             F.concat(F.lit("not a whole number of hundredths: "), amount.cast("string"))
         ).cast("bigint"),

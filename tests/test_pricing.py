@@ -112,6 +112,13 @@ def test_session_time_zone_plays_no_part(spark, conf):
         assert {tuple(r) for r in pricing_summary(spark, f"{TESTDATA}/sf0.001").collect()} == expected
 
 
+def test_a_cutoff_in_an_hour_that_the_session_zone_skips(spark, conf):
+    conf("spark.sql.session.timeZone", "America/Los_Angeles")
+    rows = [line(shipped=datetime(2000, 4, 2, 2, 30)), line(shipped=datetime(2000, 4, 2, 3, 0))]
+    frame = spark.createDataFrame(rows, LINEITEM)
+    assert {r[-1] for r in summary(frame, "2000-04-02 02:30:00")} == {1}
+
+
 def test_result_is_the_same_for_any_layout(spark):
     frame = read_table(spark, f"{TESTDATA}/sf0.01", "lineitem")
     expected = summary(frame)
