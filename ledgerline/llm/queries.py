@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import packing, quality_rules, url_filters
+from ledgerline.llm import packing, quality_rules, toxicity, url_filters
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
