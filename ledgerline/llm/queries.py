@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import lm_scoring, packing, quality_rules, toxicity, url_filters
+from ledgerline.llm import lm_scoring, packing, pii, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+    "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
