@@ -14,8 +14,7 @@ batch is compressed once.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -30,8 +29,8 @@ from ledgerline.sources import read_table
 
 #: About so many toxic and ordinary documents at most are learned from, and of
 #: these only those up to so many characters.
-TOXIC_DOCUMENTS = 4_000
-ORDINARY_DOCUMENTS = 8_000
+TOXIC_DOCUMENTS = 3_000
+ORDINARY_DOCUMENTS = 6_000
 DOCUMENT_CHARS = 20_000
 #: Bytes of the dictionaries at most.
 TOXIC_BYTES = 2_048
@@ -45,7 +44,6 @@ PAD = b" " * 16
 #: Shares of an ordinary document's windows above each of the thresholds.
 ABOVE = (0.01, 0.001, 0.0001)
 FOLDS = 5
-_CLEAR = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 def compressed(dictionary: bytes, windows: list[bytes]) -> np.ndarray:
@@ -76,29 +74,42 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=ready, compression_params=parameters)
 
 
-def _trained(holders: Counter, size: int) -> bytes:
+def _trained(words: list[bytes], holders: np.ndarray, size: int) -> bytes:
     """A dictionary trained on words, each given as often as documents hold it, to 50."""
-    samples = [w + PAD for w, n in sorted(holders.items()) for _ in range(min(n, 50))]
-    order = np.random.default_rng(0).permutation(len(samples))[:30_000]
-    chosen = [samples[i] for i in order]
+    times = np.minimum(holders, 50)
+    each = np.repeat(np.arange(len(words)), times)
+    order = np.random.default_rng(0).permutation(len(each))[:30_000]
+    chosen = [words[i] + PAD for i in each[order]]
     try:
         return zstandard.train_dictionary(size, chosen).as_bytes()
     except zstandard.ZstdError:  # too few samples for the trainer: their bytes themselves
         return b"".join(dict.fromkeys(chosen))[-size:].rjust(8, b" ")
 
 
-def _holders(texts: list[bytes]) -> Counter:
-    """Documents that hold each word; near copies, told by an extreme word hash, count once."""
-    low: dict[bytes, set[int]] = defaultdict(set)
-    high: dict[bytes, set[int]] = defaultdict(set)
-    for text in texts:
-        words = set(text.translate(_CLEAR).split())
-        hashes = list(map(zlib.crc32, words)) or [0]
-        least, most = min(hashes), max(hashes)
-        for word in words:
-            low[word].add(least)
-            high[word].add(most)
-    return Counter({w: min(len(g), len(high[w])) for w, g in low.items()})
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Offsets of the texts in their words, and the words; a blank one stands for none."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    return words.offsets.to_numpy(), words.flatten().dictionary_encode()
+
+
+def _holders(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """Words in order, and the documents that hold each.
+
+    Near copies, told by the least or the greatest of their word hashes, count once.
+    """
+    offsets, words = _split(texts)
+    names = words.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(zlib.crc32, names), np.int64, len(names))
+    index = words.indices.to_numpy().astype(np.int64)
+    sizes = np.diff(offsets)
+    counts = []
+    for extreme in (np.minimum, np.maximum):
+        mark = extreme.reduceat(hashes[index], offsets[:-1][sizes > 0])
+        pairs = np.unique(index << 32 | np.repeat(mark, sizes[sizes > 0]))
+        counts.append(np.bincount(pairs >> 32, minlength=len(names)))
+    held = np.minimum(*counts)
+    order = [i for i in sorted(range(len(names)), key=names.__getitem__) if names[i]]
+    return [names[i] for i in order], held[order]
 
 
 @dataclass(frozen=True)
@@ -118,15 +129,14 @@ class Model:
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """A row for each text; a null or empty one has no windows."""
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        offsets = words.offsets.to_numpy()
-        flat = words.flatten().dictionary_encode()
-        values = self.distances([w.encode() for w in flat.dictionary.to_pylist()])
-        each = values[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
-        blank = np.fromiter((w == "" for w in flat.dictionary.to_pylist()), bool, len(flat.dictionary))
+        offsets, flat = _split(texts)
+        names = flat.dictionary.cast(pa.binary()).to_pylist()
+        index = flat.indices.to_numpy()
+        each = self.distances(names)[index]
+        real = np.fromiter(map(bool, names), bool, len(names))[index]
         found = np.zeros((len(texts), 6))
         for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            row = each[a:b][~blank[flat.indices[a:b].to_numpy()]] if b > a else each[:0]
+            row = each[a:b][real[a:b]]
             if len(row):
                 top = np.partition(row, -3)[-3:] if len(row) > 3 else row
                 found[i] = (top.max(), top.mean(), *((row > t).sum() for t in self.thresholds), len(row))
@@ -140,31 +150,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.weights), -40, 40)))
 
 
-def learn(texts: list[str], toxic: list[int], prior: float) -> Model:
+def learn(texts: pa.Array | list[str], toxic: list[int], prior: float) -> Model:
     """A model from labelled texts; ``prior`` is the share of toxic labels overall."""
     marked = np.array(toxic, bool)
     if marked.all() or not marked.any():
         return Model(prior)
-    raw = [t.encode() for t in texts]
-    bad = _holders([t for t, m in zip(raw, marked, strict=True) if m])
-    plain = _holders([t for t, m in zip(raw, marked, strict=True) if not m])
+    whole = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    bad, bad_held = _holders(whole.filter(pa.array(marked)))
+    plain, plain_held = _holders(whole.filter(pa.array(~marked)))
     n_bad, n_plain = int(marked.sum()), int((~marked).sum())
-    least = max(3, HOLDERS * n_bad)
-    stand_out = Counter(
-        {
-            w: n
-            for w, n in bad.items()
-            if n >= least and n / n_bad >= CONTRAST * (plain[w] + 0.5) / n_plain
-        }
+    at = pc.index_in(pa.array(bad, pa.binary()), pa.array(plain, pa.binary()))
+    both = np.append(plain_held, 0)[pc.fill_null(at, len(plain)).to_numpy()]
+    chosen = (bad_held >= max(3, HOLDERS * n_bad)) & (
+        bad_held / n_bad >= CONTRAST * (both + 0.5) / n_plain
     )
-    ordinary = _trained(plain or bad, ORDINARY_BYTES)
-    model = Model(prior, _trained(stand_out or bad, TOXIC_BYTES), ordinary)
-    words = list(plain)
-    away = np.repeat(model.distances(words), [plain[w] for w in words]) if words else np.zeros(1)
-    model = Model(
-        prior, model.toxic, ordinary, tuple(float(np.quantile(away, 1 - share)) for share in ABOVE)
+    if not chosen.any():
+        chosen[:] = True
+    toxic_dictionary = _trained(
+        [w for w, c in zip(bad, chosen, strict=True) if c], bad_held[chosen], TOXIC_BYTES
     )
-    x = model.features(pa.array(texts))
+    model = Model(prior, toxic_dictionary, _trained(plain, plain_held, ORDINARY_BYTES))
+    away = np.repeat(model.distances(plain), plain_held) if plain else np.zeros(1)
+    model = replace(model, thresholds=tuple(float(np.quantile(away, 1 - share)) for share in ABOVE))
+    x = model.features(whole)
     centre, scale = x.mean(0), x.std(0)
     centre[0], scale[scale == 0] = 0, 1
     weights = _logistic(
@@ -172,9 +180,7 @@ def learn(texts: list[str], toxic: list[int], prior: float) -> Model:
         marked.astype(float),
         np.where(marked, prior / n_bad, (1 - prior) / n_plain) * len(texts),
     )
-    return Model(
-        prior, model.toxic, ordinary, model.thresholds, tuple(centre), tuple(scale), tuple(weights)
-    )
+    return replace(model, centre=tuple(centre), scale=tuple(scale), weights=tuple(weights))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> np.ndarray:
@@ -191,7 +197,7 @@ def training_texts(
     documents: DataFrame,
     labels: DataFrame,
     most: tuple[int, int] = (ORDINARY_DOCUMENTS, TOXIC_DOCUMENTS),
-) -> tuple[list[str], list[int], float]:
+) -> tuple[pa.Array, list[int], float]:
     """Texts and labels of the sample, and the share of toxic labels.
 
     Labels with a null count as none; of several labels of a document the highest
@@ -205,7 +211,7 @@ def training_texts(
     )
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not counts:
-        return [], [], 0.5
+        return pa.array([], pa.string()), [], 0.5
     grain = 1_000_000
     share = {k: min(grain, int(grain * most[k] / n) + 1) for k, n in counts.items()}
     sample = known.filter(
@@ -217,10 +223,12 @@ def training_texts(
         documents.select("doc_id", "text")
         .filter(F.length("text").between(1, DOCUMENT_CHARS))
         .join(F.broadcast(sample), "doc_id")
-        .collect()
+        .select("text", "toxic", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("order"))
+        .toArrow()
+        .sort_by([("order", "ascending"), ("text", "ascending")])
     )
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    return [r.text for r in rows], [r.toxic for r in rows], counts.get(1, 0) / sum(counts.values())
+    share_toxic = counts.get(1, 0) / sum(counts.values())
+    return rows["text"].combine_chunks(), rows["toxic"].to_pylist(), share_toxic
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
