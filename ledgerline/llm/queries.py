@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontamination, jaccard_join, lm_scoring, packing, pii, quality_rules, suffix_dedup, toxicity, url_filters
+from ledgerline.llm import (
+    compact_windows,
+    decontamination,
+    jaccard_join,
+    lm_scoring,
+    packing,
+    pii,
+    quality_rules,
+    suffix_dedup,
+    toxicity,
+    url_filters,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
+    "op5_compact_windows": compact_windows.op5_compact_windows,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,
