@@ -1,5 +1,5 @@
 """Column expressions."""
 
-from ledgerline.functions.fixed_point import from_ten_thousandths, hundredths, wide_sum
+from ledgerline.functions.fixed_point import from_hundredths, from_ten_thousandths, hundredths, product, wide_sum
 
-__all__ = ["from_ten_thousandths", "hundredths", "wide_sum"]
+__all__ = ["from_hundredths", "from_ten_thousandths", "hundredths", "product", "wide_sum"]

@@ -30,7 +30,7 @@ def plain(conf):
     conf("spark.sql.adaptive.enabled", "false")
 
 
-def test_scan_reads_six_columns_and_takes_the_filter(spark, plain):
+def test_scan_reads_six_columns_and_its_plan_lists_the_filter(spark, plain):
     frame = pricing_summary(spark, f"{TESTDATA}/sf0.01")
     (scan,) = [n for n in nodes(frame) if n.nodeName().startswith("Scan")]
     assert set(scan.requiredSchema().fieldNames()) == {

@@ -101,8 +101,31 @@ def test_cutoff_is_inclusive_to_the_microsecond(spark):
     frame = spark.createDataFrame(rows, LINEITEM)
     assert {r[-1] for r in summary(frame)} == {2}
     assert {r[-1] for r in summary(frame, "2000-09-02 00:00:00.000001")} == {3}
-    with pytest.raises(PySparkException):
-        shipped_by(frame, "2000-13-02").collect()
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("cutoff", ["2000-13-02", "garbage", "", "2000-09-02 00:00:00-08:00", "2000-09-02T00:00Z"])
+def test_a_cutoff_that_is_no_plain_time_is_an_error(spark, conf, ansi, cutoff):
+    conf("spark.sql.ansi.enabled", ansi)
+    with pytest.raises(ValueError):
+        shipped_by(spark.createDataFrame([line()], LINEITEM), cutoff)
+
+
+def test_a_column_with_a_zone_is_an_error(spark):
+    frame = spark.createDataFrame([line()], LINEITEM)
+    with pytest.raises(TypeError):
+        shipped_by(frame.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp")), "2000-09-02")
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_large_amounts_are_exact_or_an_error(spark, conf, ansi):
+    conf("spark.sql.ansi.enabled", ansi)
+    of = lambda rows: summary(spark.createDataFrame(rows, LINEITEM))
+    rows = [line(quantity=4e16)] * 4
+    assert of(rows) == brute_force(rows)
+    for bad in (line(price=2e15, discount=0.1), line(price=1e14, discount=-1e6), line(quantity=5e16)):
+        with pytest.raises(PySparkException):
+            of([bad])
 
 
 def test_session_time_zone_plays_no_part(spark, conf):
