@@ -7,14 +7,36 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import stored
 
+#: A node is a hub when it has over 1 / HUBS of all links, so there are fewer than HUBS.
+HUBS = 10_000
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with m, the least of a u and all its v.
+
+    The least is made of partial minima. Hubs, of which there are fewer than HUBS, are
+    sent to their links, which stay where they are; the other nodes are joined by key.
+    """
+    least = stored(
+        edges.groupBy("u").agg(F.count("*").alias("held"), F.min("v").alias("v")).select(
+            "u", F.least("u", "v").alias("m"), "held"
+        ),
+        "links-least",
+    )
+    links = least.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    hubs = least.filter(F.col("held") * HUBS > links).select("u", "m")
+    told = edges.join(F.broadcast(hubs), "u", "left")
+    return told.filter("m IS NOT NULL").union(
+        told.filter("m IS NULL").drop("m").join(least.select("u", "m"), "u")
+    )
+
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node and component (the least node it can reach) of every node with a link.
 
     ``links`` has the bigint columns a and b. In each round every node first sends its
     larger neighbours to the least node it knows, then all its neighbours and itself;
-    the links end as stars around the least nodes, after about log n rounds. A node
-    with very many links sends partial minima first.
+    the links end as stars around the least nodes, after about log n rounds.
     """
     edges = stored(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -23,20 +45,13 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("w")).select(
-            F.col("u").alias("x"), F.least("u", "w").alias("m")
-        )
         # larger neighbours meet the least node
-        large = (
-            both.filter("v > u")
-            .join(least, F.col("u") == F.col("x"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
+        large = stored(
+            _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            "links",
         )
-        large = stored(large, "links")
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         small = (
-            large.join(low, F.col("u") == F.col("x"))
+            _with_least(large)
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .filter("u <> v")

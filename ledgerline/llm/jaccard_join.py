@@ -285,12 +285,16 @@ def links(classes: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
 
     ``classes`` has node, n, vector and first; ``documents`` has the texts of the nodes.
     """
-    # one dealing by shingle serves the counts, the least classes and the pairs
-    dealt = classes.select("node", "n", F.explode("first").alias("shingle")).repartition("shingle")
-    cells = dealt.groupBy("shingle").agg(
-        F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("least")
-    ).filter("held > 1")
-    crowded = stored(dealt.join(cells, "shingle").select("shingle", "node", "n", "least"), "jaccard-cells")
+    # the cells are stored, so that the join with them can split a common shingle
+    dealt = classes.select("node", "n", F.explode("first").alias("shingle"))
+    cells = stored(
+        dealt.groupBy("shingle")
+        .agg(F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("least"))
+        .filter("held > 1")
+        .select("shingle", "least"),
+        "jaccard-cells",
+    )
+    crowded = stored(dealt.join(cells, "shingle").select("shingle", "node", "n", "least"), "jaccard-crowded")
     fits = lambda x, y: 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
     stars = (
         crowded.filter((F.col("node") != F.col("least.node")) & fits(F.col("n"), F.col("least.n")))
@@ -302,17 +306,18 @@ def links(classes: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     )
     first = stored(verified(stars, documents, rule), "jaccard-links")
     labels = components(first)
-    labelled = (
+    labelled = stored(
         crowded.select("shingle", "node")
         .join(labels, "node", "left")
-        .select("shingle", "node", F.coalesce("component", "node").alias("label"))
-        .repartition("shingle")
+        .select("shingle", "node", F.coalesce("component", "node").alias("label")),
+        "jaccard-labelled",
     )
-    mixed_cells = (
+    mixed_cells = stored(
         labelled.groupBy("shingle")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low <> high")
-        .select("shingle")
+        .select("shingle"),
+        "jaccard-mixed",
     )
     open_cells = stored(labelled.join(mixed_cells, "shingle"), "jaccard-open").join(
         classes.select("node", "n", "vector"), "node"
