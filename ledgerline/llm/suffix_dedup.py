@@ -422,21 +422,26 @@ def runs(texts: DataFrame, documents: DataFrame) -> DataFrame:
         ),
         "suffix-anchors",
     )
-    dealt = found.repartition("seed")
-    contexts = dealt.groupBy("seed", "left", "right").agg(
-        F.sum("m").alias("m"),
-        F.first("n_left").alias("n_left"),
-        F.first("n_right").alias("n_right"),
-        F.min(F.struct("key", "size", "place")).alias("at"),
+    # stored, so that the join with them can split a common seed
+    live = stored(
+        found.groupBy("seed").agg(F.sum("m").alias("places")).filter("places > 1").select("seed"), "suffix-seeds"
     )
-    seeds = contexts.groupBy("seed").agg(F.sum("m").alias("places"), F.count("*").alias("contexts"))
-    live = seeds.filter("places > 1")
-    kept = stored(dealt.join(live.select("seed"), "seed").select("seed", "left", "right", "members"), "suffix-live")
+    kept = stored(found.join(live, "seed"), "suffix-live")
+    contexts = stored(
+        kept.groupBy("seed", "left", "right").agg(
+            F.sum("m").alias("m"),
+            F.first("n_left").alias("n_left"),
+            F.first("n_right").alias("n_right"),
+            F.min(F.struct("key", "size", "place")).alias("at"),
+        ),
+        "suffix-contexts",
+    )
+    counts = stored(contexts.groupBy("seed").agg(F.count("*").alias("contexts")), "suffix-counts")
     several = stored(
-        contexts.join(live, "seed").select(
+        contexts.join(counts, "seed").select(
             "seed", "left", "right", "m", "n_left", "n_right", "contexts", "at.key", "at.size", "at.place"
         ),
-        "suffix-contexts",
+        "suffix-several",
     )
     # one context, so every string around it is repeated as often as it
     alone = several.filter("contexts = 1").select(
@@ -479,7 +484,8 @@ def runs(texts: DataFrame, documents: DataFrame) -> DataFrame:
         )
     out = stored(out, "suffix-extents")
     return (
-        kept.join(out, ["seed", "left", "right"])
+        kept.select("seed", "left", "right", "members")
+        .join(out, ["seed", "left", "right"])
         .select(F.explode("members").alias("x"), "back", "on")
         .groupBy("x.key", "x.size")
         .agg(
