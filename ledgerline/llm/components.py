@@ -11,8 +11,8 @@ from ledgerline.llm.common import stored
 HUBS = 10_000
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with m, the least of a u and all its v.
+def _with_least(edges: DataFrame, links: int) -> DataFrame:
+    """``edges`` (u, v), ``links`` at most, with m, the least of a u and all its v.
 
     The least is made of partial minima. Hubs, of which there are fewer than HUBS, are
     sent to their links, which stay where they are; the other nodes are joined by key.
@@ -23,7 +23,6 @@ def _with_least(edges: DataFrame) -> DataFrame:
         ),
         "links-least",
     )
-    links = least.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     hubs = least.filter(F.col("held") * HUBS > links).select("u", "m")
     told = edges.join(F.broadcast(hubs), "u", "left")
     return told.filter("m IS NOT NULL").union(
@@ -31,6 +30,11 @@ def _with_least(edges: DataFrame) -> DataFrame:
     )
 
 
+def _signature(edges: DataFrame) -> tuple:
+    """The number of ``edges`` and a sum that tells them from others."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node and component (the least node it can reach) of every node with a link.
 
@@ -42,23 +46,25 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "links",
     )
-    before = None
+    before = _signature(edges)
     for _ in range(most_rounds):
+        if not before[0]:
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # larger neighbours meet the least node
         large = stored(
-            _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            _with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
             "links",
         )
         small = (
-            _with_least(large)
+            _with_least(large, 2 * before[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .filter("u <> v")
             .distinct()
         )
         edges = stored(small, "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _signature(edges)
         if now == before:
             break
         before = now
