@@ -9,6 +9,7 @@ a document that crosses a border gets a record on each side of it.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,19 +25,37 @@ from ledgerline.sources import read_table
 
 LENGTH = 1024
 END = 0
-#: Files of the vocabulary, and the pattern that splits texts for it.
+#: Files of the vocabulary: its ranks, and its tokenizer with the added tokens.
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, which are matched in texts as they stand."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    for token in added:
+        if any(token[k] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"added token {token['content']!r} is not matched as it stands")
+    return {token["content"]: token["id"] for token in added}
 
 
 @lru_cache(maxsize=2)
 def encoding(path: str):
-    """The byte-level BPE of a rank file, with no special tokens."""
+    """The byte-level BPE of a rank file, with the added tokens of TOKENIZER.
+
+    Its ids, with all added tokens allowed, are those of ``tokenizers`` on TOKENIZER:
+    texts are split at the added tokens first.
+    """
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, lines)}
     return tiktoken.Encoding(
-        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "byte_bpe",
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=ranks,
+        special_tokens=added_tokens(public_tokenizers.path(TOKENIZER)),
     )
 
 
@@ -45,7 +64,10 @@ def _token_ids(path: str):
         encode = encoding(path).encode_to_numpy
         task, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [np.append(encode(t or ""), END).astype("<u4") for t in batch["text"].to_pylist()]
+            ids = [
+                np.append(encode(t or "", allowed_special="all"), END).astype("<u4")
+                for t in batch["text"].to_pylist()
+            ]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
