@@ -11,8 +11,8 @@ which are made block by block for the whole batch, not node by node.
 2. A band has two hashes. Where a compact window of one meets one of the other, the
    passages share both least shingles; the interval gets one row, with the place of
    the first hash's least shingle, in a cell named by the two.
-3. In each cell that several texts share, every text is paired with the least one, a
-   row each. The rows of a text are put together, so that it is cut once, and the
+3. In each cell that several texts share, every row is paired with the least one, and
+   further rows of the least text with the greatest one. The rows of a text are put together, so that it is cut once, and the
    other side is cut into blocks, so that a long text goes nowhere as a whole.
 4. Passages around the two places are compared exactly.
 5. What is not like the least text of its cell is paired once more, with the least of
@@ -237,15 +237,25 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _centred(rows: DataFrame) -> DataFrame:
-    """The rows of cells that several texts share, with the least text of the cell."""
+def _paired(rows: DataFrame) -> DataFrame:
+    """The rows of cells that several texts share, each with the row it is compared with.
+
+    That is the cell's least one; for further rows of the least text it is the greatest
+    one. The least row itself is the other side of those, and has a null centre.
+    """
+    row = F.struct("node", "place")
     cells = (
         rows.groupBy("cell")
-        .agg(F.min(F.struct("node", "place")).alias("least"), F.max("node").alias("most"))
-        .filter("most > least.node")
-        .select("cell", F.col("least.node").alias("centre"), F.col("least.place").alias("centre_place"))
+        .agg(F.min(row).alias("least"), F.max(row).alias("greatest"))
+        .filter("greatest.node > least.node")
+    )
+    other = F.when(F.col("node") != F.col("least.node"), F.col("least")).when(
+        F.col("place") != F.col("least.place"), F.col("greatest")
+    )
+    return rows.join(cells, "cell").withColumn("other", other).select(
+        "node", "cell", "place",
+        F.col("other.node").alias("centre"), F.col("other.place").alias("centre_place"),
     )
-    return rows.join(cells, "cell")
 
 
 def passages(texts: DataFrame) -> DataFrame:
@@ -254,15 +264,14 @@ def passages(texts: DataFrame) -> DataFrame:
     ``texts`` has node, one row each, and text.
     """
     rows = stored(texts.select("node", "text").mapInArrow(_cells, "node bigint, cell bigint, place int"), "windows-cells")
-    shared = stored(_centred(rows), "windows-shared")
-    found = stored(_compared(shared.filter("node <> centre"), texts), "windows-hits")
+    shared = stored(_paired(rows).filter("centre IS NOT NULL"), "windows-shared")
+    found = stored(_compared(shared, texts), "windows-hits")
     done = found.select("node", F.col("partner").alias("centre")).distinct()
     left = stored(
-        shared.filter("node <> centre").select("node", "cell", "place", "centre")
-        .join(done, ["node", "centre"], "left_anti").select("node", "cell", "place"),
+        shared.join(done, ["node", "centre"], "left_anti").select("node", "cell", "place"),
         "windows-left",
     )
-    again = _centred(left).filter("node <> centre")
+    again = _paired(left).filter("centre IS NOT NULL")
     return found.union(stored(_compared(again, texts), "windows-hits"))
 
 
