@@ -15,13 +15,14 @@ which are made block by block for the whole batch, not node by node.
    further rows of the least text with the greatest one. The rows of a text are put together, so that it is cut once, and the
    other side is cut into blocks, so that a long text goes nowhere as a whole.
 4. Passages around the two places are compared exactly.
-5. What is not like the least text of its cell is paired once more, with the least of
-   those left over.
+5. A row whose place is in no hit with its centre is compared with all rows of other
+   texts in its cell. The rows left out hang together by the centre. This grows with
+   the square of the unlike rows of a cell.
 
 Two passages of the least similarity share a cell of a band with a probability of
-0.64, and one of the three bands with 0.95; passages that repeat exactly always do. A
-text that is like only such members of all its common cells as are no centre is not
-found. ``tests/llm`` measures the recall against brute force.
+0.64, and one of the three bands with 0.95; passages that repeat exactly always do.
+Where a row's place is in a hit, passages of its interval beyond the hit are not
+compared with others. ``tests/llm`` measures the recall against brute force.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ PERCENT = 80
 BANDS = 3
 #: Passages of a block of the other side.
 BLOCK = 1024
+#: Rows of a cell for each of its salts, about.
+CROWD = 1000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -258,6 +261,107 @@ def _paired(rows: DataFrame) -> DataFrame:
     )
 
 
+def _marked(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """node, cell and place of ``shared``, and whether it is open: in no hit with its centre."""
+    part = lambda k: F.floor(F.col(k) / BLOCK).cast("int")
+    hits = found.select(
+        "node",
+        F.col("partner").alias("centre"),
+        "first",
+        "last",
+        F.explode(F.sequence(part("first"), F.floor((F.col("last") - 1) / BLOCK).cast("int"))).alias("part"),
+    )
+    closed = (
+        shared.withColumn("part", part("place")).join(hits, ["node", "centre", "part"])
+        .filter("first <= place AND place < last").select("node", "cell", "place").distinct()
+        .withColumn("open", F.lit(False))
+    )
+    return shared.select("node", "cell", "place").join(closed, ["node", "cell", "place"], "left").withColumn(
+        "open", F.coalesce("open", F.lit(True))
+    )
+
+
+_AROUND = "node bigint, cell bigint, place int, open boolean, salts int, back int, around binary"
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of all passages that hold a place, for each row wanted of each text."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            own = _text_shingles(batch["text"][i].as_py())
+            everything = batch["wanted"][i].values
+            for a in range(0, len(everything), 10_000):
+                wanted = everything.slice(a, 10_000)
+                places = wanted.field(1).to_pylist()
+                lows = [max(p - WIDTH + 1, 0) for p in places]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch["node"][i].as_py()] * len(places), pa.int64()),
+                        *(wanted.field(k) for k in range(4)),
+                        pa.array([p - low for p, low in zip(places, lows, strict=True)], pa.int32()),
+                        pa.array([own[low : p + WIDTH].tobytes() for p, low in zip(places, lows, strict=True)], pa.binary()),
+                    ],
+                    ["node", "cell", "place", "open", "salts", "back", "around"],
+                )
+
+
+def _compare_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        columns = (batch[k].to_pylist() for k in ("node", "place", "back", "partner", "partner_place", "partner_back"))
+        for i, (node, place, back, partner, other, other_back) in enumerate(zip(*columns, strict=True)):
+            own = np.frombuffer(batch["around"][i].as_buffer(), np.uint64)
+            theirs = np.frombuffer(batch["partner_around"][i].as_buffer(), np.uint64)
+            both = min(back, other_back)
+            near = alike(own[back - both :], theirs[other_back - both :])
+            edges = np.flatnonzero(np.diff(near.astype(np.int8), prepend=0, append=0)).tolist()
+            for a, b in zip(edges[::2], edges[1::2], strict=True):
+                a, b = a - both, b - both - 1 + PASSAGE
+                rows.append((node, partner, place + a, place + b))
+                rows.append((partner, node, other + a, other + b))
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                ["node", "partner", "first", "last"],
+            )
+
+
+def _rest_compared(marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """The hits of every open row of ``marked`` with all rows of other texts in its cell.
+
+    Rows that are not open hang together by their centre. The open rows of a cell with
+    many rows are dealt by salts, its other rows go to each.
+    """
+    cells = (
+        marked.groupBy("cell")
+        .agg(F.max("open").alias("any"), F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("held"))
+        .filter("any AND most > least")
+        .select("cell", F.expr(f"cast(1 + held div {CROWD} as int)").alias("salts"))
+    )
+    wanted = marked.join(cells, "cell").groupBy("node").agg(
+        F.collect_list(F.struct("cell", "place", "open", "salts")).alias("wanted")
+    )
+    around = stored(texts.join(wanted, "node").select("node", "wanted", "text").mapInArrow(_surroundings, _AROUND), "windows-around")
+    dealt = around.filter("open").withColumn("salt", F.expr("cast(pmod(xxhash64(node, place), salts) as int)"))
+    others = around.select(
+        "cell",
+        F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"),
+        F.col("node").alias("partner"),
+        F.col("place").alias("partner_place"),
+        F.col("open").alias("partner_open"),
+        F.col("back").alias("partner_back"),
+        F.col("around").alias("partner_around"),
+    )
+    # two open rows meet once
+    return (
+        dealt.join(others, ["cell", "salt"]).filter("node < partner OR (node > partner AND NOT partner_open)")
+        .select("node", "place", "back", "around", "partner", "partner_place", "partner_back", "partner_around")
+        .mapInArrow(_compare_around, "node bigint, partner bigint, first int, last int")
+        .distinct()
+    )
+
+
 def passages(texts: DataFrame) -> DataFrame:
     """node, partner, first and last of the near duplicates among different ``texts``.
 
@@ -266,13 +370,7 @@ def passages(texts: DataFrame) -> DataFrame:
     rows = stored(texts.select("node", "text").mapInArrow(_cells, "node bigint, cell bigint, place int"), "windows-cells")
     shared = stored(_paired(rows).filter("centre IS NOT NULL"), "windows-shared")
     found = stored(_compared(shared, texts), "windows-hits")
-    done = found.select("node", F.col("partner").alias("centre")).distinct()
-    left = stored(
-        shared.join(done, ["node", "centre"], "left_anti").select("node", "cell", "place"),
-        "windows-left",
-    )
-    again = _paired(left).filter("centre IS NOT NULL")
-    return found.union(stored(_compared(again, texts), "windows-hits"))
+    return found.union(stored(_rest_compared(_marked(shared, found), texts), "windows-hits"))
 
 
 def _merged(spans: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+from ledgerline.llm import compact_windows
 from ledgerline.llm.compact_windows import repeats
 
 
@@ -27,3 +28,28 @@ def test_every_occurrence_in_the_least_document(spark):
         words = {k for s in got.spans for k in range(s.first, s.last)}
         assert all({*range(a, a + 60)} <= words for a in (30, 160, 300))
         assert got.n_repeat_words == len(words) < 3 * 60 + 3 * 30
+
+
+def test_families_of_a_crowded_cell(spark, monkeypatch):
+    """Thirty families share a phrase too short to be alike, and half of them a header.
+
+    The two of a family share one word more on each side, which makes them alike. Their
+    cells are mostly those of the phrase, which all families are in.
+    """
+    monkeypatch.setattr(compact_windows, "CROWD", 5, raising=False)
+    phrase, header = made(44, 6), made(60, 7)
+    docs, start = [(0, made(30, 8) + header + made(30, 9) + phrase + made(60, 30))], {}
+    for family in range(30):
+        left, right = made(2, 100 + family)
+        for k in (1, 2):
+            d = 10 * family + k
+            before = made(20, 2000 + d) + header * (family < 15) + made(60, 4000 + d)
+            start[d] = len(before)
+            docs.append((d, before + [left] + phrase + [right] + made(60, 6000 + d)))
+    got = told(spark, docs)
+    found = {
+        d for d, a in start.items()
+        if {*range(a, a + 46)} <= {k for s in got[d].spans for k in range(s.first, s.last)}
+    }
+    assert len(found) >= 0.9 * len(start)
+    assert all(got[d].class_id == (0 if d < 150 else 10 * (d // 10) + 1) for d in found)
