@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
+from functools import wraps
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,30 +19,104 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: Where each stored table that is still in use lies.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: The tables that the innermost run under way has stored.
+_own: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("own", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is missing, as in tests on one machine, a temporary
-    folder of this machine is made and set for the session.
+    Where the setting is missing, a temporary folder of this machine is made and set
+    for the session, if the session is local; on a cluster that is an error, since
+    each executor would write to a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, place: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    files, path = _file_system(spark, place)
+    files.delete(path, True)
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as Parquet in the shared folder, and read again.
 
     Cuts the lineage: an executor that is lost later takes nothing with it, and
     values that a task made up (such as its own number) stay as first written.
+    The table goes with ``drop``, at the end of the ``run`` that it belongs to, or
+    when the driver ends.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (own := _own.get()) is not None:
+        own.append((spark, place))
+    files, path = _file_system(spark, place)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(place)
+    again = spark.read.schema(frame.schema).parquet(place)
+    _places[again] = place
+    return again
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these tables, which nothing may read again."""
+    for table in tables:
+        _delete(table.sparkSession, _places.pop(table))
+    if tables:
+        _release(tables[0].sparkSession)
+
+
+def run(name: str):
+    """For a function that returns a frame: a run that cleans up after itself.
+
+    Its result is stored under ``name``. All else that it stored on the way is deleted
+    when the result is there, and all of it when the function fails. Runs nest: the
+    result belongs to the run around it.
+    """
+
+    def of(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(function)
+        def whole(*args, **kwargs) -> DataFrame:
+            own: list[tuple[SparkSession, str]] = []
+            token, result = _own.set(own), None
+            try:
+                result = stored(function(*args, **kwargs), name)
+                return result
+            finally:
+                _own.reset(token)
+                kept = result is not None and _places[result]
+                for spark, place in own:
+                    if place != kept:
+                        _delete(spark, place)
+                    elif (outer := _own.get()) is not None:
+                        outer.append((spark, place))
+                if own:
+                    _release(own[0][0])
+
+        return whole
+
+    return of
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -257,12 +257,13 @@ WITH d AS (
 ), dup AS (
     SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r
 ), common AS (
-    SELECT source, norm
+    SELECT a.source, norm
     FROM (SELECT source, norm, count(DISTINCT r) AS holders FROM l GROUP BY source, norm) a
-    JOIN (SELECT source, count(*) AS documents FROM d GROUP BY source) b USING (source)
+    JOIN (SELECT source, count(*) AS documents FROM d GROUP BY source) b ON a.source IS NOT DISTINCT FROM b.source
     WHERE holders > {LINE_DOCUMENTS} AND holders > {LINE_SHARE} * documents
 ), gone AS (
-    SELECT r, sum(n) AS removed FROM l JOIN common USING (source, norm) GROUP BY r
+    SELECT r, sum(n) AS removed
+    FROM l JOIN common c ON l.norm = c.norm AND l.source IS NOT DISTINCT FROM c.source GROUP BY r
 ), g AS (
     SELECT r, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] || ' ' || w[i+3] || ' ' || w[i+4] AS gram
     FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)

@@ -6,10 +6,13 @@ from ledgerline.llm import (
     compact_windows,
     decontamination,
     jaccard_join,
+    line_dedup,
     lm_scoring,
     packing,
+    period_runs,
     pii,
     quality_rules,
+    source_divergence,
     suffix_dedup,
     toxicity,
     url_filters,
@@ -26,8 +29,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_period_runs": period_runs.op11_period_runs,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_source_divergence": source_divergence.op13_source_divergence,
 }
 
 ORACLE_SQL = {
     "op9_quality_rules": quality_rules.SQL,
+    "op11_period_runs": period_runs.SQL,
+    "op12_line_dedup": line_dedup.SQL,
+    "op13_source_divergence": source_divergence.SQL,
 }

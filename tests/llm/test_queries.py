@@ -43,7 +43,7 @@ def test_empty_tables(spark, empty_folder, name):
     assert QUERIES[name](spark, empty_folder).collect() == []
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op1", "op2", "op4", "op5", "op6", "op7", "op9")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.split("_")[0] in ("op1", "op2", "op4", "op5", "op6", "op7", "op9", "op11", "op12")])
 def test_one_row_a_document(result, texts, name):
     assert Counter(r["doc_id"] for r in result(name)) == Counter(d for d, _ in texts)
 
