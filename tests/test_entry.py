@@ -16,7 +16,7 @@ import __spark_entry__ as contract
 from tests.conftest import TESTDATA
 
 ROOT = Path(__file__).parents[1]
-TYPES = {"VARCHAR": "string", "DOUBLE": "double", "BIGINT": "bigint", "BOOLEAN": "boolean"}
+TYPES = {"VARCHAR": "string", "DOUBLE": "double", "BIGINT": "bigint", "INTEGER": "int", "BOOLEAN": "boolean"}
 
 
 def by_duckdb(folder, sql):
@@ -25,7 +25,7 @@ def by_duckdb(folder, sql):
             db.execute(f"CREATE VIEW {Path(path).stem} AS SELECT * FROM '{path}'")
         result = db.execute(sql)
         types = {name: TYPES[str(kind)] for name, kind, *_ in result.description}
-        return types, sorted(result.fetchall())
+        return types, sorted(result.fetchall(), key=repr)
 
 
 def test_sql_belongs_to_queries():
@@ -40,7 +40,7 @@ def test_query_equals_its_sql(spark, name, sf):
     frame = contract.queries()[name](spark, folder)
     types, rows = by_duckdb(folder, contract.oracle_sql()[name])
     assert dict(frame.dtypes) == types
-    assert sorted(tuple(r) for r in frame.collect()) == rows
+    assert sorted((tuple(r) for r in frame.collect()), key=repr) == rows
     assert rows
 
 
