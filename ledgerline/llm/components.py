@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stored
+from ledgerline.llm.common import drop, run, stored
 
 #: A node is a hub when it has over 1 / HUBS of all links, so there are fewer than HUBS.
 HUBS = 10_000
@@ -35,6 +35,7 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+@run("components")
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """node and component (the least node it can reach) of every node with a link.
 
@@ -63,7 +64,8 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        edges = stored(small, "links")
+        older, edges = edges, stored(small, "links")
+        drop(older, large)
         now = _signature(edges)
         if now == before:
             break

@@ -1,23 +1,29 @@
 """N-gram Jaccard join: count-vector R-tree, with exact links and components.
 
-A document is the set of its word shingles. Its count vector tells how many of them
-fall into each of GROUPS groups by hash. The sum of the coordinate minima of two
-vectors bounds the overlap of the sets from above, and so does the sum of the minima
-of a vector and the upper corner of a box of vectors. An R-tree over the vectors
-skips boxes, then vectors, that cannot reach the overlap a link needs.
+A document is the set of its word shingles. Hashing deals the shingles into groups, and
+its count vector tells how many fall into each of GROUPS groups. The sum of the coordinate
+minima of two vectors bounds the overlap of the sets from above, and so does that of the
+upper corners of two boxes of vectors. R-trees skip boxes, then vectors, that cannot reach
+the overlap a link needs.
 
 The join over many machines goes in these steps, none of which loses a link:
 
-1. Documents with the same set are one class. Only classes go on.
-2. Two classes with a link share a shingle among the first few of each, in any one
-   order of the shingles (the overlap leaves no room otherwise). Classes are dealt
-   into cells by those shingles. Shingles that many documents of a task hold come
-   last in the order, so that common phrases make no cells.
+1. Documents with the same set are one class.
+2. Two linked sets differ in few shingles. Dealt into more groups than that, they agree in
+   some group wholly. So each document goes into a cell for what each of its groups holds:
+   a cell has documents that share several shingles, not just one, and a phrase or passage
+   that many documents share makes no cells of its own. The number of groups depends on the
+   size, in steps of a half; a document whose size is near the next step goes into the
+   cells of both. Groups that are empty on both sides tell nothing; a document with so
+   many of them that a link could rest on them alone also goes into a cell for each of its
+   first shingles, in order of their hashes (the overlap leaves no link without one).
 3. In each cell every class is paired with the cell's least one, a pair a class.
    The verified pairs join most of what belongs together.
-4. Each cell that still holds different components gets an R-tree, which finds the
-   pairs across components that pass the bound. These are verified too.
-5. Verified pairs make the components.
+4. Cells that still hold different components are sorted by size and cut into blocks of
+   BLOCK entries at most. Each block has an R-tree; the trees of two blocks of a cell are
+   joined wherever their boxes allow a link, and give the pairs across components that
+   pass the bound. No task holds more than two blocks at a time.
+5. These pairs are verified too. Verified pairs make the components.
 
 A pair is verified by the overlap of the whole sets.
 """
@@ -28,23 +34,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stored
+from ledgerline.llm.common import drop, run, stored
 from ledgerline.llm.components import components
 from ledgerline.llm.word_hashes import hashed_words, inside, mixed, parts, shingles
 from ledgerline.sources import read_table
 
-GROUPS = 64
-#: Shingles held by so many documents of a task's part are common; the list of those
-#: that come last in the order has so many entries at most.
-COMMON_DOCUMENTS = 6
-COMMON_SHINGLES = 100_000
-#: Children of a box of the R-tree.
-FAN = 16
+GROUPS = 256
+#: Entries of a leaf of the R-tree, and of a block of a cell.
+LEAF = 32
+BLOCK = 8192
+#: Entries of a bucket of cells, about.
+BUCKET = 100_000
+#: A cell is a hub when over 1 / HUBS of all entries of large tables are known to be in it,
+#: so there are fewer than HUBS.
+HUBS = 20_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +71,15 @@ class Rule:
         """How many shingles of a set of n must be looked at."""
         return n - -(-self.percent * n // 100) + 1
 
+    def steps(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least size, differences of two linked sets at most, and groups of each step of sizes."""
+        low = [1]
+        while low[-1] <= most * 2:
+            low.append(max(low[-1] + 1, low[-1] * 3 // 2))
+        low = np.array(low, np.int64)
+        differ = 2 * (low[1:] - 1) * (100 - self.percent) // (100 + self.percent)
+        return low[:-1], differ, differ + 1 + -(-differ // 8)
+
 
 def shingle_sets(batch_texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of the distinct shingles of each text, by text and hash."""
@@ -84,63 +102,54 @@ def shingle_sets(batch_texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarr
     return text[new], hashes[new]
 
 
-def _common(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
-            _, hashes = shingle_sets(batch["text"], size)
-            different, held = np.unique(hashes, return_counts=True)
-            often = held >= COMMON_DOCUMENTS
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(different[often].view(np.int64)), pa.array(held[often])], ["shingle", "held"]
-            )
-
-    return run
-
-
-def common_shingles(documents: DataFrame, size: int) -> np.ndarray:
-    """The commonest shingles, the least common first; COMMON_SHINGLES at most.
-
-    They only set the order, which changes no result.
-    """
-    held = stored(
-        documents.select("text")
-        .mapInArrow(_common(size), "shingle bigint, held bigint")
-        .groupBy("shingle")
-        .agg(F.sum("held").alias("held")),
-        "jaccard-common",
-    )
-    powers = [1 << k for k in range(62)]
-    at_least = held.agg(*[F.count(F.when(F.col("held") >= p, 1)).alias(f"p{p}") for p in powers]).first()
-    least = next(p for p, n in zip(powers, at_least, strict=True) if n <= COMMON_SHINGLES)
-    rows = held.filter(F.col("held") >= least).toPandas().sort_values(["held", "shingle"])
-    return rows["shingle"].to_numpy(np.int64).view(np.uint64)
+def _cells_of(rule: Rule, text: np.ndarray, hashes: np.ndarray, counts: np.ndarray):
+    """Text and key of the cells of each text; the shingles come by text and hash."""
+    low, differ, groups = rule.steps(int(counts.max(initial=1)))
+    step = np.searchsorted(low, counts, "right") - 1
+    # the largest set that can be linked may be a step further
+    further = (100 * counts // rule.percent >= low[step + 1]) & (counts > 0)
+    for chosen, at in ((counts > 0, step), (further, step + 1)):
+        # sets that may not differ at all are linked only to their own class
+        chosen = chosen & (differ[at] > 0)
+        own = chosen[text]
+        t, h = text[own], hashes[own]
+        if not len(t):
+            continue
+        m = groups[at]
+        group = ((h >> np.uint64(32)) * m[t].astype(np.uint64)) >> np.uint64(32)
+        begins = np.ones(len(t), bool)
+        begins[1:] = (t[1:] != t[:-1]) | (group[1:] != group[:-1])
+        begins = np.flatnonzero(begins)
+        total = np.add.reduceat(mixed(h + np.uint64(3)), begins)
+        place = at[t[begins]].astype(np.uint64) << np.uint64(40) | group[begins]
+        yield t[begins], mixed(mixed(total) + mixed(place))
+        # empty groups could be all that a pair agrees in
+        full = np.bincount(t[begins], minlength=len(counts))
+        bare = chosen & (m - full >= m - differ[at])
+        if bare.any():
+            starts = np.cumsum(counts) - counts
+            early = bare[text] & (np.arange(len(text)) - starts[text] < rule.first(counts)[text])
+            place = at[text[early]].astype(np.uint64) << np.uint64(40) | np.uint64(1 << 39)
+            yield text[early], mixed(mixed(hashes[early]) + mixed(place))
 
 
-def _sketch(rule: Rule, common):
+def _sketch(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
-        order = np.argsort(last)
-        ordered, rank = last[order], order + 1
         for batch in parts(batches):
             n_rows = batch.num_rows
             text, hashes = shingle_sets(batch["text"], rule.size)
             counts = np.bincount(text, minlength=n_rows)
             starts = np.cumsum(counts) - counts
-            group = (hashes >> np.uint64(40)).astype(np.int64) % GROUPS
+            group = (hashes >> np.uint64(20)).astype(np.int64) % GROUPS
             vector = np.bincount(text * GROUPS + group, minlength=n_rows * GROUPS).astype("<i4")
             sums = []
             for salt in (1, 2):
                 total = np.append(np.uint64(0), np.cumsum(mixed(hashes + np.uint64(salt))))
                 sums.append((total[starts + counts] - total[starts]).view(np.int64))
-            late = np.zeros(len(hashes), np.int64)
-            if len(ordered):
-                at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
-                late = np.where(ordered[at] == hashes, rank[at], 0)
-            by = np.lexsort((hashes, late, text))
-            place = np.arange(len(hashes)) - starts[text]  # text stays in order
-            first = place < rule.first(counts)[text]
-            chosen = hashes[by][first].view(np.int64)
-            ends = np.append(0, np.cumsum(np.bincount(text[first], minlength=n_rows)))
+            none = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+            of, cell = (np.concatenate(x) for x in zip(none, *_cells_of(rule, text, hashes, counts), strict=True))
+            order = np.argsort(of, kind="stable")
+            ends = np.append(0, np.cumsum(np.bincount(of, minlength=n_rows)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
@@ -148,21 +157,20 @@ def _sketch(rule: Rule, common):
                     pa.array(sums[0]),
                     pa.array(sums[1]),
                     pa.array([v.tobytes() for v in vector.reshape(n_rows, GROUPS)], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(chosen)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell[order].view(np.int64))),
                 ],
-                ["doc_id", "n", "s1", "s2", "vector", "first"],
+                ["doc_id", "n", "s1", "s2", "vector", "cells"],
             )
 
     return run
 
 
 def sketches(documents: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, two sums that name the set, count vector and first shingles of each row."""
-    common = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, rule.size))
+    """doc_id, n, two sums that name the set, count vector and cells of each row."""
     return stored(
         documents.mapInArrow(
-            _sketch(rule, common),
-            "doc_id bigint, n bigint, s1 bigint, s2 bigint, vector binary, first array<bigint>",
+            _sketch(rule),
+            "doc_id bigint, n bigint, s1 bigint, s2 bigint, vector binary, cells array<bigint>",
         ),
         "jaccard",
     )
@@ -187,6 +195,7 @@ def _sets(size: int):
     return run
 
 
+@run("jaccard-links")
 def verified(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose documents have a link."""
     pairs = stored(pairs, "jaccard-pairs")
@@ -217,117 +226,302 @@ def verified(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Cell and doc_id of the entries of a batch, by cell; of rows with the same set one goes in."""
+    sums = np.stack([batch[k].to_numpy() for k in ("doc_id", "n", "s2", "s1")])
+    order = np.lexsort(sums)
+    new = np.ones(len(order), bool)
+    new[1:] = (sums[1:, order[1:]] != sums[1:, order[:-1]]).any(0)
+    batch = batch.take(pa.array(np.sort(order[new])))
+    cells = batch["cells"]
+    node = np.repeat(batch["doc_id"].to_numpy(), pc.list_value_length(cells).to_numpy())
+    cell = cells.flatten().to_numpy().view(np.uint64)
+    by = np.argsort(cell, kind="stable")
+    return cell[by], node[by]
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cell, held = np.unique(_entries(batch)[0], return_counts=True)
+        often = held >= max(2, held.sum() // HUBS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cell[often].view(np.int64)), pa.array(held[often])], ["cell", "held"]
+        )
+
+
+def _dealt(bits: int, hubs):
+    """Entries of all cells but hubs, packed; those of the hubs if ``bits`` is negative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, node = _entries(batch)
+            at_hub = np.isin(cell, hubs.value)
+            if bits < 0:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell[at_hub].view(np.int64)), pa.array(node[at_hub])], ["cell", "node"]
+                )
+                continue
+            cell, node = cell[~at_hub], node[~at_hub]
+            bucket = (cell >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(cell), np.int64)
+            begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(cell)])
+            ends = np.append(begins[1:], len(cell))
+            pieces = [
+                pa.array([x[a:b].tobytes() for a, b in zip(begins, ends, strict=False)], pa.binary())
+                for x in (cell, node)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[begins]), *pieces], ["bucket", "cells", "nodes"])
+
+    return run
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """Entries of the cells of a bucket that have two or more."""
+    cell = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint64)
+    node = np.frombuffer(b"".join(table["nodes"].to_pylist()), np.int64)
+    order = np.argsort(cell, kind="stable")
+    cell, node = cell[order], node[order]
+    same = cell[1:] == cell[:-1]
+    kept = np.append(same, False) | np.append(False, same)
+    return pa.table({"cell": cell[kept].view(np.int64), "node": node[kept]})
+
+
+def crowded(each: DataFrame) -> DataFrame:
+    """cell and node of the entries of ``each`` (of ``sketches``) that are not alone in their cell.
+
+    Entries are dealt into buckets of cells as packed arrays, one row a batch and bucket.
+    Hubs, fewer than HUBS cells, are known from counts of batches first and are not dealt,
+    so a bucket has no cell with a large share of all documents. They come back with all
+    their entries, alone or not.
+    """
+    each = each.select("doc_id", "n", "s1", "s2", "cells")
+    entries = each.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0))).first()[0]
+    bits = int(entries // BUCKET).bit_length()
+    hubs = np.zeros(0, np.uint64)
+    if entries > BUCKET * 100:  # below, any cell fits into a task
+        often = each.mapInArrow(_often, "cell bigint, held bigint").groupBy("cell").agg(F.sum("held").alias("held"))
+        rows = often.filter(F.col("held") * HUBS > entries).select("cell").toPandas()
+        hubs = rows["cell"].to_numpy(np.int64).view(np.uint64)
+    known = each.sparkSession.sparkContext.broadcast(hubs)
+    found = (
+        each.mapInArrow(_dealt(bits, known), "bucket bigint, cells binary, nodes binary")
+        .groupBy("bucket")
+        .applyInArrow(_met, "cell bigint, node bigint")
+    )
+    if not len(hubs):
+        return found
+    return found.union(each.mapInArrow(_dealt(-1, known), "cell bigint, node bigint"))
+
+
 class Tree:
     """An R-tree over count vectors, packed by sorting along one axis after another."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray) -> None:
-        order = np.arange(len(vectors))
-
         def pack(part: np.ndarray, axis: int) -> list[np.ndarray]:
-            if len(part) <= FAN:
+            if len(part) <= LEAF:
                 return [part]
             by = part[np.argsort(sizes[part] if axis < 0 else vectors[part, axis], kind="stable")]
-            cut = max(FAN, -(-len(part) // FAN))
+            cut = max(LEAF, -(-len(part) // 8))
             widest = lambda p: int(np.ptp(vectors[p], axis=0).argmax())
-            return [
-                leaf
-                for i in range(0, len(by), cut)
-                for leaf in pack(by[i : i + cut], widest(by[i : i + cut]))
-            ]
+            return [leaf for i in range(0, len(by), cut) for leaf in pack(by[i : i + cut], widest(by[i : i + cut]))]
 
         self.vectors, self.sizes = vectors, sizes
-        self.leaves = pack(order, -1)
+        self.leaves = pack(np.arange(len(vectors)), -1)
         self.upper = np.array([vectors[p].max(0) for p in self.leaves])
         self.low = np.array([sizes[p].min() for p in self.leaves])
         self.high = np.array([sizes[p].max() for p in self.leaves])
-        # boxes of boxes
-        spans = range(0, len(self.leaves), FAN)
-        self.top = np.array([self.upper[i : i + FAN].max(0) for i in spans])
-        self.top_low = np.array([self.low[i : i + FAN].min() for i in spans])
-        self.top_high = np.array([self.high[i : i + FAN].max() for i in spans])
-
-    def near(self, i: int, rule: Rule) -> np.ndarray:
-        """Entries whose bound allows a link with entry i."""
-        v, n = self.vectors[i], self.sizes[i]
-
-        def open_(upper, low, high):
-            fits = (100 * high >= rule.percent * n) & (100 * n >= rule.percent * low)
-            return fits & (np.minimum(upper, v).sum(1) >= rule.overlap(n + np.maximum(low, 0)))
-
-        boxes = np.flatnonzero(open_(self.top, self.top_low, self.top_high))
-        leaves = (boxes[:, None] * FAN + np.arange(FAN)).ravel()
-        leaves = leaves[leaves < len(self.leaves)]
-        leaves = leaves[open_(self.upper[leaves], self.low[leaves], self.high[leaves])]
-        if not len(leaves):
-            return leaves
-        entries = np.concatenate([self.leaves[k] for k in leaves])
-        return entries[open_(self.vectors[entries], self.sizes[entries], self.sizes[entries])]
-
-
-def _search(rule: Rule):
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.frombuffer(b"".join(cell["vector"]), "<i4").reshape(len(cell), GROUPS)
-        tree = Tree(vectors.astype(np.int64), cell["n"].to_numpy(np.int64))
-        node, label = cell["node"].to_numpy(), cell["label"].to_numpy()
-        a, b = [], []
-        for i in range(len(cell)):
-            near = tree.near(i, rule)
-            near = near[(node[near] > node[i]) & (label[near] != label[i])]
-            a.append(np.full(len(near), node[i]))
-            b.append(node[near])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    def joined(self, other: Tree, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Entries of this tree and of the other whose bound allows a link."""
+        for k, leaf in enumerate(self.leaves):
+            fits = (100 * other.high >= rule.percent * self.low[k]) & (100 * self.high[k] >= rule.percent * other.low)
+            near = np.flatnonzero(fits)
+            bound = np.minimum(other.upper[near], self.upper[k]).sum(1)
+            near = near[bound >= rule.overlap(self.low[k] + other.low[near])]
+            if not len(near):
+                continue
+            entries = np.concatenate([other.leaves[i] for i in near])
+            for i in leaf:
+                n, sizes = self.sizes[i], other.sizes[entries]
+                fits = (100 * sizes >= rule.percent * n) & (100 * n >= rule.percent * sizes)
+                close = entries[fits]
+                bound = np.minimum(other.vectors[close], self.vectors[i]).sum(1)
+                close = close[bound >= rule.overlap(n + other.sizes[close])]
+                if other is self:
+                    close = close[close > i]
+                yield np.full(len(close), i), close
+
+
+def _tree(block: dict) -> Tree:
+    vectors = np.frombuffer(block["vectors"], "<i4").reshape(-1, GROUPS)
+    return Tree(vectors.astype(np.int64), np.frombuffer(block["sizes"], np.int64))
+
+
+def _linkable(rule: Rule, one: dict, other: dict) -> pa.RecordBatch:
+    """Nodes of two blocks, or of one, of different components, that may be linked."""
+    tree = _tree(one)
+    (a, b), (x, y) = ([np.frombuffer(side[k], np.int64) for side in (one, other)] for k in ("nodes", "labels"))
+    pairs = [np.zeros((2, 0), np.int64)]
+    for i, j in tree.joined(tree if other is one else _tree(other), rule):
+        pairs.append(np.stack([a[i], b[j]])[:, x[i] != y[j]])
+    pairs = np.concatenate(pairs, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+
+
+def _blocks(most: int):
+    """Blocks of one cell each, of ``most`` entries at most, from rows that come by cell and size."""
+
+    def made(rows: pa.Table, number: int) -> pa.RecordBatch:
+        size = rows["n"].to_numpy()
+        block = {
+            "cell": rows["cell"][0].as_py(),
+            "block": (TaskContext.get().partitionId() << 40) + number,
+            "low": int(size.min()),
+            "high": int(size.max()),
+            "nodes": rows["node"].to_numpy().tobytes(),
+            "labels": rows["label"].to_numpy().tobytes(),
+            "sizes": size.tobytes(),
+            "vectors": b"".join(rows["vector"].to_pylist()),
+        }
+        return pa.RecordBatch.from_pylist([block], schema=_BLOCK_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, of = 0, [], None
+        for batch in batches:
+            cell = batch["cell"].to_numpy()
+            begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+            for a, b in zip(begins, np.append(begins[1:], len(cell)), strict=False):
+                while a < b:
+                    full = sum(h.num_rows for h in held)
+                    if held and (of != cell[a] or full == most):
+                        yield made(pa.Table.from_batches(held), number)
+                        number, held, full = number + 1, [], 0
+                    of = cell[a]
+                    held.append(batch.slice(a, min(b - a, most - full)))
+                    a += held[-1].num_rows
+        if held:
+            yield made(pa.Table.from_batches(held), number)
 
     return run
 
 
-def links(classes: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
+_BLOCK = "cell bigint, block bigint, low bigint, high bigint, nodes binary, labels binary, sizes binary, vectors binary"
+_BLOCK_SCHEMA = pa.schema(
+    [(f.split()[0], pa.int64() if f.endswith("bigint") else pa.binary()) for f in _BLOCK.split(", ")]
+)
+
+
+def _within(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield _linkable(rule, row, row)
+
+    return run
+
+
+def _across(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                yield _linkable(rule, x.as_py(), y.as_py())
+
+    return run
+
+
+def open_pairs(entries: DataFrame, rule: Rule, most: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of nodes that share a cell, differ in label and pass the bound.
+
+    ``entries`` has cell, node, label, n and vector. Rows are sorted over all tasks, so a
+    cell of any size is cut into blocks of ``most`` entries at most, and every two blocks
+    of it are joined.
+    """
+    blocks = stored(
+        entries.repartitionByRange("cell", "n", "node")
+        .sortWithinPartitions("cell", "n", "node")
+        .mapInArrow(_blocks(most), _BLOCK),
+        "jaccard-blocks",
+    )
+    within = blocks.mapInArrow(_within(rule), "a bigint, b bigint")
+    several = blocks.groupBy("cell").agg(F.count("*").alias("held")).filter("held > 1").select("cell")
+    heads = stored(blocks.select("cell", "block", "low", "high").join(several, "cell"), "jaccard-heads")
+    x, y = (heads.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high")]) for s in "xy")
+    two = x.join(y, "cell").filter(
+        (F.col("block_x") < F.col("block_y"))
+        & (100 * F.col("high_x") >= rule.percent * F.col("low_y"))
+        & (100 * F.col("high_y") >= rule.percent * F.col("low_x"))
+    )
+    whole = lambda s: blocks.select(
+        F.col("block").alias(f"block_{s}"), F.struct("nodes", "labels", "sizes", "vectors").alias(s)
+    )
+    across = (
+        two.select("block_x", "block_y")
+        .join(whole("x"), "block_x")
+        .join(whole("y"), "block_y")
+        .select("x", "y")
+        .mapInArrow(_across(rule), "a bigint, b bigint")
+    )
+    return within.union(across).filter("a < b").distinct()
+
+
+def links(each: DataFrame, names: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     """Verified pairs (a, b) of classes that make the same components as all links.
 
-    ``classes`` has node, n, vector and first; ``documents`` has the texts of the nodes.
+    ``each`` comes from ``sketches``, ``names`` has doc_id, node (of its class) and n,
+    ``documents`` the texts of the nodes.
     """
-    # the cells are stored, so that the join with them can split a common shingle
-    dealt = classes.select("node", "n", F.explode("first").alias("shingle"))
+    met = stored(crowded(each), "jaccard-met").withColumnRenamed("node", "doc_id")
+    entries = stored(met.join(names, "doc_id").select("cell", "node", "n").distinct(), "jaccard-entries")
     cells = stored(
-        dealt.groupBy("shingle")
-        .agg(F.count("*").alias("held"), F.min(F.struct("n", "node")).alias("least"))
+        entries.groupBy("cell")
+        .agg(
+            F.count("*").alias("held"),
+            F.min(F.struct("n", "node")).alias("least"),
+            F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+        )
         .filter("held > 1")
-        .select("shingle", "least"),
+        # cells with the same members find the same pairs
+        .groupBy("held", "least", "members")
+        .agg(F.min("cell").alias("cell")),
         "jaccard-cells",
     )
-    crowded = stored(dealt.join(cells, "shingle").select("shingle", "node", "n", "least"), "jaccard-crowded")
+    shared = stored(entries.join(cells.select("cell", "least"), "cell"), "jaccard-shared")
+    drop(entries)
     fits = lambda x, y: 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
     stars = (
-        crowded.filter((F.col("node") != F.col("least.node")) & fits(F.col("n"), F.col("least.n")))
+        shared.filter((F.col("node") != F.col("least.node")) & fits(F.col("n"), F.col("least.n")))
         .groupBy("node", F.col("least.node").alias("centre"))
         .agg(F.count("*").alias("shared"))
         .groupBy("node")
         .agg(F.max(F.struct("shared", "centre")).alias("best"))
         .select(F.col("best.centre").alias("a"), F.col("node").alias("b"))
     )
-    first = stored(verified(stars, documents, rule), "jaccard-links")
+    first = verified(stars, documents, rule)
     labels = components(first)
     labelled = stored(
-        crowded.select("shingle", "node")
+        shared.select("cell", "node", "n")
         .join(labels, "node", "left")
-        .select("shingle", "node", F.coalesce("component", "node").alias("label")),
+        .select("cell", "node", "n", F.coalesce("component", "node").alias("label")),
         "jaccard-labelled",
     )
-    mixed_cells = stored(
-        labelled.groupBy("shingle")
+    drop(shared, labels)
+    mixed_cells = (
+        labelled.groupBy("cell")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .filter("low <> high")
-        .select("shingle"),
-        "jaccard-mixed",
-    )
-    open_cells = stored(labelled.join(mixed_cells, "shingle"), "jaccard-open").join(
-        classes.select("node", "n", "vector"), "node"
+        .select("cell")
     )
-    more = (
-        open_cells.groupBy("shingle").applyInPandas(_search(rule), "a bigint, b bigint").distinct()
+    open_entries = stored(labelled.join(stored(mixed_cells, "jaccard-mixed"), "cell"), "jaccard-open")
+    drop(labelled)
+    vectors = stored(
+        each.join(open_entries.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+        .dropDuplicates(["doc_id"])
+        .select(F.col("doc_id").alias("node"), "vector"),
+        "jaccard-vectors",
     )
-    return first.union(verified(more, documents, rule))
+    return first.union(verified(open_pairs(open_entries.join(vectors, "node"), rule), documents, rule))
 
 
+@run("jaccard-joined")
 def join(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``documents``.
 
@@ -338,21 +532,21 @@ def join(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     ready = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     each = sketches(ready, rule)
+    narrow = each.select("doc_id", "n", "s1", "s2")
     named = each.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(
-        named.groupBy("n", "s1", "s2").agg(
-            F.min("doc_id").alias("node"),
-            F.min_by(F.struct("vector", "first"), "doc_id").alias("of"),
-        ),
-        "jaccard-classes",
-    ).select("n", "s1", "s2", "node", "of.vector", "of.first")
-    labels = components(links(classes, ready, rule))
-    names = classes.select("n", "s1", "s2", "node").join(labels, "node", "left").select(
+        named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node")), "jaccard-classes"
+    )
+    names = stored(
+        named.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc_id", "node", "n").distinct(),
+        "jaccard-names",
+    )
+    labels = components(links(named, names, ready, rule))
+    known = classes.join(labels, "node", "left").select(
         "n", "s1", "s2", F.coalesce("component", "node").alias("component_id")
     )
     return (
-        each.select("doc_id", "n", "s1", "s2")
-        .join(names, ["n", "s1", "s2"], "left")
+        narrow.join(known, ["n", "s1", "s2"], "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
