@@ -20,17 +20,21 @@ The join over many machines goes in these steps, none of which loses a link:
 3. In each cell every class is paired with the cell's least one, a pair a class.
    The verified pairs join most of what belongs together.
 4. Cells that still hold different components are sorted by size and cut into blocks of
-   BLOCK entries at most. Each block has an R-tree; the trees of two blocks of a cell are
-   joined wherever their boxes allow a link, and give the pairs across components that
-   pass the bound. No task holds more than two blocks at a time.
-5. These pairs are verified too. Verified pairs make the components.
+   BLOCK entries at most. Each block has an R-tree. Each class tries, of the classes of
+   another component that pass the bound, the one that passes it with the most others:
+   a pair a class, again and again until these pairs make no more links. So a group of
+   near copies becomes one component long before all its pairs are formed.
+5. Where different components are left, the trees of a block, and of every two blocks of a
+   cell, are joined wherever their boxes allow a link, and give all pairs across components
+   that pass the bound. No task holds more than two blocks at a time. Verified pairs make
+   the components.
 
 A pair is verified by the overlap of the whole sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +55,8 @@ LEAF = 32
 BLOCK = 8192
 #: Entries of a bucket of cells, about.
 BUCKET = 100_000
+#: Rounds of one pair a class, at most, before all pairs that are left.
+ROUNDS = 6
 #: A cell is a hub when over 1 / HUBS of all entries of large tables are known to be in it,
 #: so there are fewer than HUBS.
 HUBS = 20_000
@@ -367,6 +373,32 @@ def _linkable(rule: Rule, one: dict, other: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
 
 
+def _best(block: dict, rule: Rule) -> pa.RecordBatch:
+    """node, other and passed of each entry that passes the bound with one of another component.
+
+    ``other`` is, of those entries, the one that passes it with the most.
+    """
+    tree = _tree(block)
+    node, label = (np.frombuffer(block[k], np.int64) for k in ("nodes", "labels"))
+    passed = np.zeros(len(node), np.int64)
+    for i, j in tree.joined(tree, rule):
+        np.add.at(passed, np.concatenate([i, j]), 1)
+    most, other = np.full(len(node), -1), np.zeros(len(node), np.int64)
+    for i, j in tree.joined(tree, rule):
+        far = label[i] != label[j]
+        i, j = i[far], j[far]
+        if not len(i):
+            continue
+        # i is one entry; each j may find it better than what it has, and it the best j
+        better = passed[i] > most[j]
+        most[j[better]], other[j[better]] = passed[i[better]], node[i[better]]
+        top = j[passed[j].argmax()]
+        if passed[top] > most[i[0]]:
+            most[i[0]], other[i[0]] = passed[top], node[top]
+    has = most >= 0
+    return pa.RecordBatch.from_arrays([pa.array(v[has]) for v in (node, other, most)], ["node", "other", "passed"])
+
+
 def _blocks(most: int):
     """Blocks of one cell each, of ``most`` entries at most, from rows that come by cell and size."""
 
@@ -410,11 +442,11 @@ _BLOCK_SCHEMA = pa.schema(
 )
 
 
-def _within(rule: Rule):
+def _within(of: Callable[[dict], pa.RecordBatch]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield _linkable(rule, row, row)
+                yield of(row)
 
     return run
 
@@ -428,20 +460,36 @@ def _across(rule: Rule):
     return run
 
 
-def open_pairs(entries: DataFrame, rule: Rule, most: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of nodes that share a cell, differ in label and pass the bound.
+def blocks_of(entries: DataFrame, most: int = BLOCK) -> DataFrame:
+    """The cells of ``entries`` (cell, node, label, n, vector) in blocks of ``most`` entries at most.
 
-    ``entries`` has cell, node, label, n and vector. Rows are sorted over all tasks, so a
-    cell of any size is cut into blocks of ``most`` entries at most, and every two blocks
-    of it are joined.
+    Rows are sorted over all tasks, so that a cell of any size is cut into blocks.
     """
-    blocks = stored(
+    return stored(
         entries.repartitionByRange("cell", "n", "node")
         .sortWithinPartitions("cell", "n", "node")
         .mapInArrow(_blocks(most), _BLOCK),
         "jaccard-blocks",
     )
-    within = blocks.mapInArrow(_within(rule), "a bigint, b bigint")
+
+
+def best_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
+    """For each node a pair (a, b) with one of another label in its blocks that passes the bound."""
+    return (
+        blocks.mapInArrow(_within(lambda row: _best(row, rule)), "node bigint, other bigint, passed bigint")
+        .groupBy("node")
+        .agg(F.max(F.struct("passed", "other")).alias("best"))
+        .select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b"))
+        .distinct()
+    )
+
+
+def open_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of nodes that share a cell, differ in label and pass the bound.
+
+    Every block is joined with itself and every other one of its cell.
+    """
+    within = blocks.mapInArrow(_within(lambda row: _linkable(rule, row, row)), "a bigint, b bigint")
     several = blocks.groupBy("cell").agg(F.count("*").alias("held")).filter("held > 1").select("cell")
     heads = stored(blocks.select("cell", "block", "low", "high").join(several, "cell"), "jaccard-heads")
     x, y = (heads.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high")]) for s in "xy")
@@ -463,14 +511,38 @@ def open_pairs(entries: DataFrame, rule: Rule, most: int = BLOCK) -> DataFrame:
     return within.union(across).filter("a < b").distinct()
 
 
+def _still_open(entries: DataFrame, found: DataFrame) -> DataFrame:
+    """cell, node, n and label of the entries of cells with different components of ``found``."""
+    labels = components(found)
+    labelled = stored(
+        entries.select("cell", "node", "n")
+        .join(labels, "node", "left")
+        .select("cell", "node", "n", F.coalesce("component", "node").alias("label")),
+        "jaccard-labelled",
+    )
+    several = (
+        labelled.groupBy("cell")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low <> high")
+        .select("cell")
+    )
+    several = stored(several, "jaccard-mixed")
+    left = stored(labelled.join(several, "cell"), "jaccard-open")
+    drop(labels, labelled, several)
+    return left
+
+
 def links(each: DataFrame, names: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     """Verified pairs (a, b) of classes that make the same components as all links.
 
     ``each`` comes from ``sketches``, ``names`` has doc_id, node (of its class) and n,
     ``documents`` the texts of the nodes.
     """
-    met = stored(crowded(each), "jaccard-met").withColumnRenamed("node", "doc_id")
-    entries = stored(met.join(names, "doc_id").select("cell", "node", "n").distinct(), "jaccard-entries")
+    met = stored(crowded(each), "jaccard-met")
+    entries = stored(
+        met.withColumnRenamed("node", "doc_id").join(names, "doc_id").select("cell", "node", "n").distinct(),
+        "jaccard-entries",
+    )
     cells = stored(
         entries.groupBy("cell")
         .agg(
@@ -485,7 +557,7 @@ def links(each: DataFrame, names: DataFrame, documents: DataFrame, rule: Rule) -
         "jaccard-cells",
     )
     shared = stored(entries.join(cells.select("cell", "least"), "cell"), "jaccard-shared")
-    drop(entries)
+    drop(met, entries)
     fits = lambda x, y: 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
     stars = (
         shared.filter((F.col("node") != F.col("least.node")) & fits(F.col("n"), F.col("least.n")))
@@ -495,30 +567,27 @@ def links(each: DataFrame, names: DataFrame, documents: DataFrame, rule: Rule) -
         .agg(F.max(F.struct("shared", "centre")).alias("best"))
         .select(F.col("best.centre").alias("a"), F.col("node").alias("b"))
     )
-    first = verified(stars, documents, rule)
-    labels = components(first)
-    labelled = stored(
-        shared.select("cell", "node", "n")
-        .join(labels, "node", "left")
-        .select("cell", "node", "n", F.coalesce("component", "node").alias("label")),
-        "jaccard-labelled",
-    )
-    drop(shared, labels)
-    mixed_cells = (
-        labelled.groupBy("cell")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        .filter("low <> high")
-        .select("cell")
-    )
-    open_entries = stored(labelled.join(stored(mixed_cells, "jaccard-mixed"), "cell"), "jaccard-open")
-    drop(labelled)
+    found = verified(stars, documents, rule)
+    left = _still_open(shared, found)
+    drop(shared)
     vectors = stored(
-        each.join(open_entries.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+        each.join(left.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
         .dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("node"), "vector"),
         "jaccard-vectors",
     )
-    return first.union(verified(open_pairs(open_entries.join(vectors, "node"), rule), documents, rule))
+    for _ in range(ROUNDS):
+        blocks = blocks_of(left.join(vectors, "node"))
+        more = verified(best_pairs(blocks, rule), documents, rule)
+        if more.isEmpty():
+            break
+        before, found = found, stored(found.union(more), "jaccard-found")
+        rest = _still_open(left, found)
+        drop(before, more, left, blocks)
+        left = rest
+    else:
+        blocks = blocks_of(left.join(vectors, "node"))
+    return found.union(verified(open_pairs(blocks, rule), documents, rule))
 
 
 @run("jaccard-joined")

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ledgerline.llm.jaccard_join import GROUPS, Rule, _cells_of, join, open_pairs
+from ledgerline.llm.jaccard_join import GROUPS, Rule, _cells_of, best_pairs, blocks_of, join, open_pairs
 
 
 @pytest.mark.parametrize("rule", [Rule(4, 85), Rule(5, 80)])
@@ -52,8 +52,11 @@ def test_one_cell_of_many_blocks(spark):
         wanted |= {(i, i + 1 + int(j)) for j in np.flatnonzero(fits & (labels[i + 1 :] != labels[i]))}
     rows = [(7, i, int(labels[i]), int(sizes[i]), bytearray(v.astype("<i4").tobytes())) for i, v in enumerate(vectors)]
     entries = spark.createDataFrame(rows, "cell bigint, node bigint, label bigint, n bigint, vector binary")
-    got = {(r.a, r.b) for r in open_pairs(entries, rule, most=256).collect()}
+    blocks = blocks_of(entries, most=256)
+    got = {(r.a, r.b) for r in open_pairs(blocks, rule).collect()}
     assert len(wanted) > 1000 and got == wanted
+    best = {(r.a, r.b) for r in best_pairs(blocks, rule).collect()}
+    assert best <= wanted and 0 < len(best) <= len(vectors)
 
 
 def test_hubs_and_repeated_rows(spark, monkeypatch):
@@ -62,10 +65,10 @@ def test_hubs_and_repeated_rows(spark, monkeypatch):
     word = lambda: f"w{pick.integers(0, 5000)}"
     texts = []
     for _ in range(30):
-        base = [word() for _ in range(60)]
+        base = [word() for _ in range(150)]
         for _ in range(10):
             own = list(base)
-            own[int(pick.integers(0, 60))] = word()
+            own[int(pick.integers(0, 150))] = word()
             texts.append(" ".join(own))
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id int, text string")
     plain = sorted(map(tuple, join(frame).collect()))
