@@ -119,6 +119,22 @@ def run(name: str):
     return of
 
 
+def fields(documents: DataFrame) -> list[Column]:
+    """The columns of ``documents`` out of a column ``row`` that holds them all."""
+    return [F.col("row").getField(c).alias(c) for c in documents.columns]
+
+
+def left_out(documents: DataFrame, gone: DataFrame, key: Callable[[Column], list[Column]]) -> DataFrame:
+    """The rows of ``documents`` whose ``key`` is not a row of ``gone``; null equals null.
+
+    The columns go along in one struct, so that none of their names can clash.
+    """
+    rows = documents.select(F.struct("*").alias("row"))
+    gone = gone.toDF(*[f"gone{i}" for i in range(len(gone.columns))])
+    on = [k.eqNullSafe(F.col(c)) for k, c in zip(key(F.col("row")), gone.columns, strict=True)]
+    return rows.join(gone, on, "left_anti").select(fields(documents))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row.
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import left_out, run, text_of
 from ledgerline.llm.word_hashes import hashed_words, inside, mixed, parts, shingles
 from ledgerline.sources import read_table
 
@@ -231,16 +232,20 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+@run("decontamination-held")
+def holding(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The hash of each text that holds an item."""
+    named = documents.select(F.xxhash64(text_of()).alias("doc_id"), "text")
+    return leaks(named, benchmark).select("doc_id").distinct()
+
+
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that hold no item, with all their columns.
+    """The rows of ``documents`` whose text holds no item, with all their columns.
 
-    Rows with a null id are told apart by nothing, so that all of them go if one holds
-    an item.
+    Each row is judged by its own text, whatever its doc_id.
     """
-    bad = leaks(documents, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(
-        bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__bad")), "left_anti"
-    )
+    held = holding(documents, benchmark)
+    return left_out(documents, held, lambda row: [F.xxhash64(F.coalesce(row["text"], F.lit("")))])
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import drop, run, stored
+from ledgerline.llm.common import drop, fields, left_out, run, stored
 from ledgerline.llm.components import components
 from ledgerline.llm.word_hashes import hashed_words, inside, mixed, parts, shingles
 from ledgerline.sources import read_table
@@ -624,15 +624,38 @@ def join(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     )
 
 
+@run("jaccard-gone")
+def superfluous(documents: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id of the documents that are not the least of their component."""
+    return join(documents, rule).filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+
+
 def keep_one(documents: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of ``documents`` that are the least of their component, with all columns."""
-    gone = (
-        join(documents, rule)
-        .filter(F.col("component_id") != F.col("doc_id"))
-        .select(F.col("doc_id").alias("__gone"))
-        .distinct()
+    """One row of each component, that of the least doc_id, with all its columns.
+
+    Rows that share a doc_id are one document, and so are rows without one that share a
+    text: one row of each stays, which one is not defined. Rows without a doc_id are
+    linked with nothing else.
+    """
+    kept = left_out(documents, superfluous(documents, rule), lambda row: [row["doc_id"].cast("bigint")])
+    name = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit(""))))
+    again = stored(
+        documents.groupBy(F.col("doc_id").cast("bigint").alias("id"), name.alias("name")).count().filter("count > 1").drop("count"),
+        "jaccard-again",
+    )
+    if again.isEmpty():
+        return kept
+    row = F.col("row")
+    key = [row["doc_id"].cast("bigint"), F.when(row["doc_id"].isNull(), F.xxhash64(F.coalesce(row["text"], F.lit(""))))]
+    rows = kept.select(F.struct("*").alias("row"))
+    several = rows.withColumns({"id": key[0], "name": key[1]}).join(
+        again.toDF("again_id", "again_name"),
+        F.col("id").eqNullSafe(F.col("again_id")) & F.col("name").eqNullSafe(F.col("again_name")),
+        "left_semi",
     )
-    return documents.join(gone, F.col("doc_id").cast("bigint") == F.col("__gone"), "left_anti")
+    one = several.groupBy("id", "name").agg(F.first("row").alias("row"))
+    once = left_out(kept, again, lambda row: key)
+    return once.union(one.select(fields(documents)))
 
 
 def op4_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import let, stored, text_of
+from ledgerline.llm.common import let, run, stored, text_of
 from ledgerline.sources import read_table
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -301,6 +301,13 @@ def joined(spans: Column) -> Column:
     )
 
 
+@run("pii-spans")
+def spans_of(documents: DataFrame) -> DataFrame:
+    """doc_id, text_key and spans of the texts that have any."""
+    found = find(documents.select("doc_id", "text")).filter(F.size("spans") > 0)
+    return found.groupBy("doc_id", "text_key").agg(F.first("spans").alias("spans"))
+
+
 def redact(documents: DataFrame) -> DataFrame:
     """``documents`` with each span replaced by its kind in angle brackets.
 
@@ -308,14 +315,9 @@ def redact(documents: DataFrame) -> DataFrame:
     ``n_chars``, where there is one, follows the text. All else stays, null texts too.
     """
     names = F.array(*[F.lit(f"<{k}>") for k in [*KINDS, FOUND]])
-    hits = (
-        find(documents.select("doc_id", "text"))
-        .filter(F.size("spans") > 0)
-        .groupBy("doc_id", "text_key")
-        .agg(F.first("spans").alias("__spans"))
-        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__spans")
-    )
-    text = F.col("text")
+    hits = spans_of(documents)
+    row = F.col("row")
+    text = row["text"]
     step = lambda acc, s: F.when(
         s["start"] < acc["at"],
         F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")),
@@ -328,23 +330,30 @@ def redact(documents: DataFrame) -> DataFrame:
         )
     )
     clean = F.aggregate(
-        "__spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         step,
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    columns = documents.columns
-    out = documents.join(
-        hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key(text_of()) == F.col("__key")), "left"
-    ).withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean))
-    if "n_chars" in columns:
-        out = out.withColumn(
-            "n_chars",
-            F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(
-                F.length("text").cast(documents.schema["n_chars"].dataType)
-            ),
+    joined_rows = (
+        documents.select(F.struct("*").alias("row"))
+        .join(
+            hits.toDF("hit_id", "hit_key", "spans"),
+            row["doc_id"].eqNullSafe(F.col("hit_id")) & (text_key(F.coalesce(text, F.lit(""))) == F.col("hit_key")),
+            "left",
         )
-    return out.select(columns)
+        .withColumn("clean", F.when(F.col("spans").isNull(), text).otherwise(clean))
+    )
+
+    def of(name: str) -> Column:
+        if name == "text":
+            return F.col("clean")
+        if name == "n_chars":
+            counted = F.length("clean").cast(documents.schema[name].dataType)
+            return F.when(F.col("spans").isNull(), row[name]).otherwise(counted)
+        return row.getField(name)
+
+    return joined_rows.select([of(c).alias(c) for c in documents.columns])
 
 
 def op7_pii(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BLANKS, LOWER, UPPER, let, stored, text_of, words_of
+from ledgerline.llm.common import BLANKS, LOWER, UPPER, left_out, let, run, stored, text_of, words_of
 from ledgerline.sources import read_table
 
 #: A line is boilerplate for a host if over LINE_SHARE of the host's documents and
@@ -208,21 +208,26 @@ def judge(documents: DataFrame) -> DataFrame:
     )
 
 
+@run("quality-rejected")
+def rejected(documents: DataFrame) -> DataFrame:
+    """doc_id and text_key of the documents that ``judge`` does not keep."""
+    counts = stored(text_counts(documents), "quality")
+    gone = depleted(counts, common_lines(counts)).select("doc_id", "text_key")
+    return gone.union(counts.filter("base_failed").select("doc_id", "text_key")).distinct()
+
+
 def keep_good(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that ``judge`` keeps, with all their columns.
 
     The texts stay where they are: only rejected keys are sent to them.
     """
-    counts = stored(text_counts(documents), "quality")
-    gone = depleted(counts, common_lines(counts)).select("doc_id", "text_key")
-    failed = counts.filter("base_failed").select("doc_id", "text_key")
-    bad = gone.union(failed).distinct().select(
-        F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")
-    )
-    key = F.xxhash64(text_of(), F.length(text_of()))
-    return documents.join(
-        bad, F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (key == F.col("__bad_key")), "left_anti"
-    )
+    bad = rejected(documents)
+
+    def key(row: Column) -> list[Column]:
+        text = F.coalesce(row["text"], F.lit(""))
+        return [row["doc_id"], F.xxhash64(text, F.length(text))]
+
+    return left_out(documents, bad, key)
 
 
 COLUMNS = [
