@@ -17,17 +17,14 @@ The join over many machines goes in these steps, none of which loses a link:
    cells of both. Groups that are empty on both sides tell nothing; a document with so
    many of them that a link could rest on them alone also goes into a cell for each of its
    first shingles, in order of their hashes (the overlap leaves no link without one).
-3. In each cell every class is paired with the cell's least one, a pair a class.
-   The verified pairs join most of what belongs together.
-4. Cells that still hold different components are sorted by size and cut into blocks of
-   BLOCK entries at most. Each block has an R-tree. Each class tries, of the classes of
-   another component that pass the bound, the one that passes it with the most others:
-   a pair a class, again and again until these pairs make no more links. So a group of
-   near copies becomes one component long before all its pairs are formed.
-5. Where different components are left, the trees of a block, and of every two blocks of a
-   cell, are joined wherever their boxes allow a link, and give all pairs across components
-   that pass the bound. No task holds more than two blocks at a time. Verified pairs make
-   the components.
+3. Cells are sorted by size and cut into blocks of BLOCK entries at most. Each block has an
+   R-tree. Each class tries, of the classes that pass the bound with it, the one that passes
+   it with the most others: a pair a class. The verified pairs join most of what belongs
+   together, so that of a group of near copies few pairs are left to be formed.
+4. In cells that still hold different components, the trees of a block, and of every two
+   blocks, are joined wherever their boxes allow a link, and give all pairs across
+   components that pass the bound. No task holds more than two blocks at a time.
+5. These pairs are verified too. Verified pairs make the components.
 
 A pair is verified by the overlap of the whole sets.
 """
@@ -55,8 +52,6 @@ LEAF = 32
 BLOCK = 8192
 #: Entries of a bucket of cells, about.
 BUCKET = 100_000
-#: Rounds of one pair a class, at most, before all pairs that are left.
-ROUNDS = 6
 #: A cell is a hub when over 1 / HUBS of all entries of large tables are known to be in it,
 #: so there are fewer than HUBS.
 HUBS = 20_000
@@ -547,46 +542,29 @@ def links(each: DataFrame, names: DataFrame, documents: DataFrame, rule: Rule) -
         entries.groupBy("cell")
         .agg(
             F.count("*").alias("held"),
-            F.min(F.struct("n", "node")).alias("least"),
             F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members"),
+            F.sum(F.xxhash64("node", "n").cast("decimal(38,0)")).alias("sizes"),
         )
         .filter("held > 1")
         # cells with the same members find the same pairs
-        .groupBy("held", "least", "members")
+        .groupBy("held", "members", "sizes")
         .agg(F.min("cell").alias("cell")),
         "jaccard-cells",
     )
-    shared = stored(entries.join(cells.select("cell", "least"), "cell"), "jaccard-shared")
+    shared = stored(entries.join(cells.select("cell"), "cell"), "jaccard-shared")
     drop(met, entries)
-    fits = lambda x, y: 100 * F.least(x, y) >= rule.percent * F.greatest(x, y)
-    stars = (
-        shared.filter((F.col("node") != F.col("least.node")) & fits(F.col("n"), F.col("least.n")))
-        .groupBy("node", F.col("least.node").alias("centre"))
-        .agg(F.count("*").alias("shared"))
-        .groupBy("node")
-        .agg(F.max(F.struct("shared", "centre")).alias("best"))
-        .select(F.col("best.centre").alias("a"), F.col("node").alias("b"))
-    )
-    found = verified(stars, documents, rule)
-    left = _still_open(shared, found)
-    drop(shared)
     vectors = stored(
-        each.join(left.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+        each.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
         .dropDuplicates(["doc_id"])
         .select(F.col("doc_id").alias("node"), "vector"),
         "jaccard-vectors",
     )
-    for _ in range(ROUNDS):
-        blocks = blocks_of(left.join(vectors, "node"))
-        more = verified(best_pairs(blocks, rule), documents, rule)
-        if more.isEmpty():
-            break
-        before, found = found, stored(found.union(more), "jaccard-found")
-        rest = _still_open(left, found)
-        drop(before, more, left, blocks)
-        left = rest
-    else:
-        blocks = blocks_of(left.join(vectors, "node"))
+    blocks = blocks_of(shared.withColumn("label", F.col("node")).join(vectors, "node"))
+    found = verified(best_pairs(blocks, rule), documents, rule)
+    drop(blocks)
+    left = _still_open(shared, found)
+    drop(shared)
+    blocks = blocks_of(left.join(vectors, "node"))
     return found.union(verified(open_pairs(blocks, rule), documents, rule))
 
 
