@@ -541,5 +541,9 @@ def cut_repeats(documents: DataFrame) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """What is left of every document without its repeated strings of 400 bytes."""
-    return cut_repeats(read_table(spark, folder, "documents")).drop("kept")
+    """What is left of every document without its repeated strings of 400 bytes.
+
+    ``repeats`` says whether any byte is removed.
+    """
+    cut = cut_repeats(read_table(spark, folder, "documents")).drop("kept")
+    return cut.withColumn("repeats", F.col("n_removed") > 0)
