@@ -19,6 +19,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: A hot key is split into so many parts where tables meet on it.
+PARTS = 32
+
 #: Where each stored table that is still in use lies.
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: The tables that the innermost run under way has stored.
@@ -135,6 +138,17 @@ def left_out(documents: DataFrame, gone: DataFrame, key: Callable[[Column], list
     return rows.join(gone, on, "left_anti").select(fields(documents))
 
 
+def salted(many: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which has each key once, without a hot key.
+
+    The rows of a key go to different parts by the column ``by``; each part has its own
+    copy of the row of ``few``. A null key matches nothing.
+    """
+    part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
+    copies = few.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
+    return many.withColumn("part", part).join(copies, [*keys, "part"], how).drop("part")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row.
 

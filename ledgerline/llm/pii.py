@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import let, run, stored, text_of
+from ledgerline.llm.common import let, run, salted, stored, text_of
 from ledgerline.sources import read_table
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -61,8 +61,6 @@ ROUNDS = 3
 #: instances, and so many different ones.
 PATTERN_SCORE = 0.7
 PATTERN_INSTANCES = 3
-#: A hot pattern or instance is split into so many parts where tables meet on it.
-PARTS = 32
 
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 _UNITS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
@@ -291,17 +289,6 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     )
 
 
-def salted(many: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """``many`` joined with ``few``, which has ``key`` once, without a hot key.
-
-    The rows of a key go to different parts by ``by``; each part has its own copy of
-    the row of ``few``.
-    """
-    part = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
-    copies = few.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)])))
-    return many.withColumn("part", part).join(copies, [key, "part"], how).drop("part")
-
-
 def trusted_patterns(
     found: DataFrame, rounds: int = ROUNDS, least: float = PATTERN_SCORE, different: int = PATTERN_INSTANCES
 ) -> DataFrame:
@@ -321,7 +308,7 @@ def trusted_patterns(
     )
     broad = edges.groupBy("pattern").agg(F.count("*").alias("held")).filter(F.col("held") >= different)
     edges = stored(
-        salted(edges, broad.select("pattern"), "pattern", "instance")
+        salted(edges, broad.select("pattern"), ["pattern"], "instance")
         .withColumn("seed", is_seed(F.col("instance")).cast("double"))
         .withColumn("identifier", F.col("instance").rlike(IDENTIFIER)),
         "pii-graph",
@@ -329,7 +316,7 @@ def trusted_patterns(
     led, trusted = None, None
     for _ in range(rounds):
         valued = edges.withColumn("led", F.lit(0.0)) if led is None else salted(
-            edges, led, "instance", "pattern", "left"
+            edges, led, ["instance"], "pattern", "left"
         )
         trust = F.greatest("seed", F.coalesce("led", F.lit(0.0)))
         trusted = stored(
@@ -343,7 +330,7 @@ def trusted_patterns(
             "pii-patterns",
         )
         led = (
-            salted(edges.filter("identifier"), trusted, "pattern", "instance")
+            salted(edges.filter("identifier"), trusted, ["pattern"], "instance")
             .groupBy("instance")
             .agg(F.max("score").alias("led"))
         )
@@ -361,7 +348,7 @@ def discovered(scanned: DataFrame, found: DataFrame, patterns: DataFrame) -> Dat
         salted(
             found.filter(F.col("instance").rlike(IDENTIFIER)).withColumn("pattern", F.explode("patterns")),
             patterns.select("pattern"),
-            "pattern",
+            ["pattern"],
             "text_key",
         )
         .select(*who, "start", F.lit(len(KINDS)).alias("rank"), "end")

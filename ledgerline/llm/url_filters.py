@@ -2,7 +2,9 @@
 
 The features are lengths, path depth, digit ratio, character entropy, parameter
 counts and statistics of the host's suffix. The trees are trained from labelled
-URLs; listed rules come first where one fits.
+URLs; listed rules come first where one fits. A labelled URL never sees the labels of
+its own fold of hosts in its features, and ``held_out`` measures the trees on hosts
+that they have not seen.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ascii_lower
+from ledgerline.llm.common import ascii_lower, salted, stored
 from ledgerline.sources import read_table
 
 #: (verdict, host, path). Fixed values.
@@ -33,6 +35,12 @@ TRAINING_URLS = 20_000
 TREES = 10
 DEPTH = 4
 SEED = 7
+#: URLs are blocked from the score on at which so large a share of unseen ones is labelled so.
+PRECISION = 0.8
+#: Hosts are put into so many folds.
+FOLDS = 5
+#: The rate of blocks of a suffix is drawn to that of all URLs as if by so many more URLs.
+PRIOR_URLS = 20
 
 FEATURES = [
     "url_chars",
@@ -111,17 +119,55 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def suffix_statistics(urls: DataFrame) -> DataFrame:
-    """For each host suffix the log of its URLs and its smoothed rate of blocks.
+def fold_of(host: Column) -> Column:
+    return F.pmod(F.xxhash64(host), F.lit(FOLDS)).cast("int")
 
-    ``urls`` has suffix and label (1 block, 0 allow, null without one). All rows
-    count. A suffix sends one row for each task, however many URLs have it.
+
+def with_suffix_statistics(urls: DataFrame) -> DataFrame:
+    """``urls`` with the log of the URLs of each host suffix, and its rate of blocks.
+
+    ``urls`` has url, host, suffix and label (1 block, 0 allow, null without one). All
+    rows count. The rate is that of the suffix over the labels of the other folds for a
+    URL with a label, and over all labels for one without. It is drawn to the rate of
+    the whole table (0.5 if nothing has a label). A suffix sends one row for each task
+    and fold, however many URLs have it.
     """
-    return urls.groupBy("suffix").agg(
-        F.log1p(F.count("*")).alias("suffix_log_urls"),
-        ((F.coalesce(F.sum("label"), F.lit(0.0)) + 1) / (F.count("label") + 2)).alias(
-            "suffix_block_rate"
-        ),
+    urls = urls.withColumn("fold", fold_of(F.col("host")))
+    counts = urls.groupBy("suffix", "fold").agg(
+        F.count("*").alias("n"),
+        F.count("label").alias("known"),
+        F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocks"),
+    )
+    known, blocks = counts.agg(F.sum("known"), F.sum("blocks")).first()
+    usual = blocks / known if known else 0.5
+    rate = lambda blocks, known: (blocks + PRIOR_URLS * usual) / (known + PRIOR_URLS)
+    each = counts.groupBy("suffix").agg(
+        F.sum("n").alias("n"),
+        F.sum("known").alias("known"),
+        F.sum("blocks").alias("blocks"),
+        F.collect_list(F.struct("fold", "known", "blocks")).alias("folds"),  # FOLDS at most
+    )
+    statistics = each.select(
+        "suffix",
+        F.log1p("n").alias("suffix_log_urls"),
+        rate(F.col("blocks"), F.col("known")).alias("all_rate"),
+        "known",
+        "blocks",
+        F.explode("folds").alias("own"),
+    ).select(
+        "suffix",
+        F.col("own.fold").alias("fold"),
+        "suffix_log_urls",
+        "all_rate",
+        rate(F.col("blocks") - F.col("own.blocks"), F.col("known") - F.col("own.known")).alias("other_rate"),
+    )
+    return (
+        salted(urls, statistics, ["suffix", "fold"], "url")
+        .withColumn(
+            "suffix_block_rate",
+            F.when(F.col("label").isNull(), F.col("all_rate")).otherwise(F.col("other_rate")),
+        )
+        .drop("all_rate", "other_rate")
     )
 
 
@@ -173,33 +219,89 @@ def fit(features: DataFrame, at_most: int = TRAINING_URLS) -> UrlModel:
     return UrlModel(trees.fit(ready), 0.0)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of each row of ``pages``.
+def featured(
+    pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None
+) -> DataFrame:
+    """page_id, url, host, path, fit (rule and verdict), label, fold and the features.
 
-    The URLs that a rule fits are the labelled ones: block is 1, allow is 0. The
-    verdict is the rule's; without one it is block where the score is 0.5 or more
-    (so also in a table without any labelled URL, null URLs included).
+    Labels are the verdicts of the rules, block as 1 and allow as 0. With ``labels``
+    (url, label as 1.0 or 0.0, each url once) they are those instead.
     """
     host, path = parts(F.col("url"))
     urls = (
         pages.select("page_id", "url")
         .select("page_id", "url", host.alias("host"), path.alias("path"))
         .withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-        .withColumn(
-            "label",
-            F.when(F.col("fit.verdict") == "block", 1.0).when(F.col("fit.verdict") == "allow", 0.0),
-        )
     )
-    features = lexical(urls)
-    features = features.join(suffix_statistics(features.select("suffix", "label")), "suffix")
+    if labels is None:
+        ruled = F.when(F.col("fit.verdict") == "block", 1.0).when(F.col("fit.verdict") == "allow", 0.0)
+        urls = urls.withColumn("label", ruled)
+    else:
+        urls = salted(urls, labels.select("url", "label"), ["url"], "page_id", "left")
+    return with_suffix_statistics(lexical(urls))
+
+
+def held_out(features: DataFrame, at_most: int = TRAINING_URLS) -> dict[str, float]:
+    """How the trees do on the labelled URLs of fold 0, having learned from the others.
+
+    ``urls`` is their number, ``accuracy`` the share judged right, ``usual`` the share
+    that the more frequent label of these URLs has, ``blocked`` the share blocked. The
+    rates of the suffixes come from the other folds here too.
+    """
+    model = fit(features.filter(F.col("fold") != 0), at_most)
+    tested = model.score(features.filter((F.col("fold") == 0) & F.col("label").isNotNull()))
+    block = (F.col("score") >= 0.5).cast("double")
+    n, accuracy, blocked, labelled = tested.agg(
+        F.count("*"), F.avg((block == F.col("label")).cast("double")), F.avg(block), F.avg("label")
+    ).first()
+    if not n:
+        return {"urls": 0, "accuracy": 0.0, "usual": 0.0, "blocked": 0.0}
+    return {"urls": n, "accuracy": accuracy, "usual": max(labelled, 1 - labelled), "blocked": blocked}
+
+
+def least_score(features: DataFrame, precision: float = PRECISION, at_most: int = TRAINING_URLS) -> float:
+    """From which score of the trees on a URL is blocked, in hundredths, 0.5 at least.
+
+    Trees that have learned from the other folds score the labelled URLs of fold 0; of
+    those with the least score or more, ``precision`` must be blocks. Where no score
+    tells blocks that well, 2.0: the trees then block nothing.
+    """
+    scored = fit(features.filter(F.col("fold") != 0), at_most).score(
+        features.filter((F.col("fold") == 0) & F.col("label").isNotNull())
+    )
+    bins = (
+        scored.groupBy(F.floor(F.col("score") * 100).cast("int").alias("bin"))
+        .agg(F.count("*").alias("n"), F.sum("label").alias("blocks"))
+        .collect()  # 101 rows at most
+    )
+    least, n, blocks = 2.0, 0, 0.0
+    for row in sorted(bins, key=lambda r: -r.bin):
+        n, blocks = n + row.n, blocks + row.blocks
+        if row.bin >= 50 and blocks / (n + 1) >= precision:
+            least = row.bin / 100
+    return least
+
+
+def judge(
+    pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labels: DataFrame | None = None
+) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of each row of ``pages``.
+
+    The verdict is the rule's; without one it is block from the score of the trees on
+    that ``least_score`` gives, else allow (so also in a table without any labelled URL,
+    null URLs included). The trees learn from the URLs that a rule fits, or from
+    ``labels``, see ``featured``.
+    """
+    features = stored(featured(pages, rules, labels), "url-features")
     scored = fit(features).score(features)
+    least = least_score(features)
     return scored.select(
         "page_id",
         "host",
         "path",
         F.col("fit.rule").alias("rule"),
         F.coalesce(
-            F.col("fit.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow")
+            F.col("fit.verdict"), F.when(F.col("score") >= least, "block").otherwise("allow")
         ).alias("verdict"),
         "score",
     )
