@@ -1,229 +1,50 @@
 """LM scoring: online logistic context mixing over hashed contexts.
 
-The model predicts a text bit by bit. For each of several orders a predictor looks
-up the counts of zeros and ones seen after the last bytes and the bits of the
-current byte so far, in a hashed table. A mixer adds the predictions up in the
-logistic domain, with weights chosen by a gate (bit position and longest context
-known); an adaptive map then refines the result.
-
-Spark gathers the counts: each task sums up its windows of bytes, windows are
-dealt by their last two context bytes, and each block of the tables is filled by
-the one task that gets all its windows. The tables have a fixed size, however
-large the corpus. The mixer learns online from a bounded sample of windows, each
-predicted from the counts without itself.
-
-Once the tables are fixed, the cost of a byte depends on the window alone, so a
-task works out each different window of a batch once.
-
-Beside the model's score there is the base score of a unigram model over tokens.
+The model predicts a text bit by bit. For each of several orders a predictor knows the
+zeros and ones seen after the last bytes and the bits of the current byte so far. Two
+mixers add the predictions up in the logistic domain, with weights chosen by a gate; an
+adaptive map refines the first. A last mixer adds up these three with weights that move
+along each text (``context_mixing``).
+
+1. The texts are cut into parts as they are read; a part is stored with its different
+   windows of bytes and their counts in the texts to learn from.
+2. The counts of a window are summed up over all parts. Windows are dealt to blocks by
+   their last two context bytes; there are as many blocks as the windows need, and in a
+   block as many slots as its contexts. Nothing is dropped, capped or sampled.
+3. Each block learns weights online from its windows, each predicted from the counts
+   without itself. The means of the blocks, by what their gates saw, are the weights.
+   A second look at the windows gives the adaptive map.
+4. A block works out what the mixers say of each of its windows. This is joined with the
+   windows of the parts, and each part is scored where its windows and texts meet.
+
+Only the weights, the map and the counts after one byte of context are on the driver;
+their sizes are fixed. Beside the model's score there is the base score of a unigram
+model over tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import remainder, stored
+from ledgerline.llm import context_mixing as mixing
+from ledgerline.llm.common import remainder, run, stored
 from ledgerline.sources import read_table
 
 FOLDS, HELD_OUT = 7, 2
-#: Context bytes of the predictors. A window is the longest context and one byte.
-ORDERS = (1, 2, 3, 4, 5)
-WIDTH = max(ORDERS) + 1
-#: Blocks of the tables, and slots of a block for each order.
-BLOCKS = 256
-SLOTS = 16_384
-#: Windows that the mixer learns from at most, for each block.
-SAMPLE = 400
 #: Words whose counts are sent to every task at most; the rest is joined.
 HEAD_WORDS = 100_000
-#: Gates: a bit position and the longest order known, or none.
-GATES = 8 * (len(ORDERS) + 1)
-BUCKETS = 33
-#: The end of a text, as a byte after it.
-END = 0
-#: Bytes of text that a task works on at once, about.
-CHUNK = 4_000_000
-#: Different windows that a task holds at once, about.
-HELD = 2_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The window of each byte and of each end, as integers; and the windows of each text.
-
-    The byte itself is lowest; before a text there are zeros.
-    """
-    lead = b"\0" * (WIDTH - 1)
-    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(lead + t + b"\0" for t in texts), np.uint8)
-    packed = data.astype(np.uint64)
-    for k in range(1, WIDTH):
-        packed[k:] |= data[:-k].astype(np.uint64) << np.uint64(8 * k)
-    inside = np.ones(len(data), bool)
-    starts = np.cumsum(sizes + WIDTH - 1) - (sizes + WIDTH - 1)
-    for k in range(WIDTH - 1):
-        inside[starts + k] = False
-    return packed[inside], sizes
-
-
-def block_of(grams: np.ndarray) -> np.ndarray:
-    """The block of each window: by the two bytes before the last."""
-    near = (grams >> np.uint64(8)) & np.uint64(0xFFFF)
-    return (_mixed(near + _MIX) % np.uint64(BLOCKS)).astype(np.int64)
-
-
-def slots_of(grams: np.ndarray) -> np.ndarray:
-    """Slot within the block for each window, order and bit: [windows, orders, 8]."""
-    symbol = grams & np.uint64(0xFF)
-    out = np.empty((len(grams), len(ORDERS), 8), np.int64)
-    nodes = [(symbol | np.uint64(0x100)) >> np.uint64(8 - bit) for bit in range(8)]
-    for o, order in enumerate(ORDERS):
-        context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
-        base = _mixed(context * _MIX + np.uint64(order))
-        for bit, node in enumerate(nodes):
-            spread = (base + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x7FB5D329728EA185)
-            out[:, o, bit] = (spread >> np.uint64(40)).view(np.int64) % SLOTS + o * SLOTS
-    return out
-
-
-def quantised(counts: np.ndarray) -> np.ndarray:
-    """Counts on a logarithmic scale, in two bytes each; none stays none.
-
-    1,024 steps to a doubling reach past 2^63, so no count is clipped, and none is
-    off by more than 0.07 percent.
-    """
-    return np.rint(1024 * np.log2(1.0 + counts)).astype(np.uint16)
-
-
-#: The counts that the codes stand for.
-_COUNTS = (2 ** (np.arange(65_536) / 1024) - 1).astype(np.float32)
-
-
-def bits_of(grams: np.ndarray) -> np.ndarray:
-    """The bits of the last byte, highest first: [windows, 8]."""
-    symbol = (grams & np.uint64(0xFF)).astype(np.int64)
-    return (symbol[:, None] >> np.arange(7, -1, -1)) & 1
-
-
-def inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mixer inputs [..., 2 * orders + 1] and gate of counts [windows, orders, 8]."""
-    total = zeros + ones
-    stretch = np.log((ones + 0.02) / (zeros + 0.02)).transpose(0, 2, 1)
-    sure = np.minimum(np.log1p(total), 8).transpose(0, 2, 1) / 4
-    x = np.concatenate([stretch, stretch * sure, np.ones((*stretch.shape[:2], 1))], axis=2)
-    known = (total > 0).sum(1)  # orders seen; a longer one implies the shorter, but for clashes
-    return x.astype(np.float32), known * 8 + np.arange(8)
-
-
-@dataclass
-class Mixer:
-    weights: np.ndarray
-    refined: np.ndarray
-
-    def predict(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Probability of a one for each bit."""
-        s = np.clip(np.einsum("...i,...i->...", x, self.weights[gate]), -12, 12)
-        p = 1 / (1 + np.exp(-s))
-        at = (s + 12) * ((BUCKETS - 1) / 24)
-        low = np.minimum(at.astype(np.int64), BUCKETS - 2)
-        part = at - low
-        adaptive = self.refined[gate, low] * (1 - part) + self.refined[gate, low + 1] * part
-        return np.clip((p + adaptive) / 2, 1 / 65536, 1 - 1 / 65536)
-
-
-def learn_mixer(x: np.ndarray, gate: np.ndarray, bits: np.ndarray, weight: np.ndarray) -> Mixer:
-    """One online pass over the sample for the weights, then one for the adaptive map."""
-    mixer = Mixer(
-        np.zeros((GATES, 2 * len(ORDERS) + 1), np.float32),
-        np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, BUCKETS))), (GATES, 1)),
-    )
-    mixer.weights[:, : len(ORDERS)] = 1 / len(ORDERS)
-    if not len(x):
-        return mixer
-    each = np.minimum(weight, 1e4) ** 0.5  # common windows count more, but no one rules a step
-    squares = np.full_like(mixer.weights, 1e-2)
-    step = 256
-    for _ in range(3):
-        for a in range(0, len(x), step):
-            part = slice(a, a + step)
-            g = gate[part].ravel()
-            rows = x[part].reshape(len(g), -1)
-            s = np.clip((rows * mixer.weights[g]).sum(1), -12, 12)
-            error = (bits[part].ravel() - 1 / (1 + np.exp(-s))) * np.repeat(each[part], 8)
-            slope = np.zeros_like(mixer.weights)
-            np.add.at(slope, g, rows * error[:, None])
-            hits = np.bincount(g, np.repeat(each[part], 8), GATES)[:, None]
-            slope /= np.maximum(hits, 1e-9)
-            squares += slope**2
-            mixer.weights += 0.05 * slope / np.sqrt(squares)
-    for a in range(0, len(x), step):
-        part = slice(a, a + step)
-        g = gate[part].ravel()
-        s = np.clip((x[part].reshape(len(g), -1) * mixer.weights[g]).sum(1), -12, 12)
-        near = np.rint((s + 12) * ((BUCKETS - 1) / 24)).astype(np.int64)
-        hits, ones = np.zeros((2, GATES, BUCKETS))
-        np.add.at(hits, (g, near), np.repeat(each[part], 8))
-        np.add.at(ones, (g, near), np.repeat(each[part], 8) * bits[part].ravel())
-        rate = hits / (hits + 50)
-        mixer.refined += rate * (ones / np.maximum(hits, 1e-9) - mixer.refined)
-    return mixer
-
-
-@dataclass
-class Model:
-    """Tables of counts, [blocks, orders * SLOTS] of zeros and of ones as
-    ``quantised`` gives them, and the mixer."""
-
-    zeros: np.ndarray
-    ones: np.ndarray
-    mixer: Mixer
-
-    def cost(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte of each window."""
-        out = np.empty(len(grams))
-        for a in range(0, len(grams), 20_000):
-            part = grams[a : a + 20_000]
-            at = slots_of(part) + (block_of(part) * (len(ORDERS) * SLOTS))[:, None, None]
-            x, gate = inputs(_COUNTS[self.zeros.ravel()[at]], _COUNTS[self.ones.ravel()[at]])
-            p = self.mixer.predict(x, gate)
-            bits = bits_of(part)
-            out[a : a + 20_000] = np.log10(np.where(bits == 1, p, 1 - p)).sum(1)
-        return out
-
-    def scores(self, texts: list[bytes], known: pd.Series | None = None) -> tuple[np.ndarray, pd.Series]:
-        """log10 of the probability of each text and its end; and the costs worked out.
-
-        ``known`` has the costs of earlier texts; they are dropped when there are many.
-        """
-        if known is None or len(known) > HELD:
-            known = pd.Series(np.zeros(0), np.zeros(0, np.uint64))
-        if not texts:
-            return np.zeros(0), known
-        grams, sizes = windows(texts)
-        code, different = pd.factorize(grams)
-        del grams
-        at = known.index.get_indexer(different)
-        new = different[at < 0]
-        costs = np.empty(len(different))
-        costs[at >= 0] = known.to_numpy()[at[at >= 0]]
-        costs[at < 0] = fresh = self.cost(new)
-        known = pd.concat([known, pd.Series(fresh, new)])
-        return np.add.reduceat(costs[code], np.cumsum(sizes) - sizes), known
+#: Bytes of text of a part, about; one text at least.
+CHUNK = 8_000_000
+#: Different windows of a block, about, and the number of blocks that there can be.
+BLOCK_WINDOWS, MOST_BLOCKS = 50_000, 65_536
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,125 +65,162 @@ def _raw(texts: pa.Array) -> list[bytes]:
     return pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
 
 
-def _counted(windows_: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, different = pd.factorize(np.concatenate(windows_))
-    return different, np.bincount(code, np.concatenate(counts), len(different)).astype(np.int64)
-
-
-def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams, counts, size = [], [], 0
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts with the part and row that they got, and the windows of each part."""
+    part = row = TaskContext.get().partitionId() << 36
+    names = ["part", "row", "doc_id", "held_out", "text", "gram", "n"]
+    for batch in _chunks(batches):
+        grams, sizes = mixing.windows(_raw(batch["text"]))
+        code, different = pd.factorize(grams)
+        learned = np.repeat(batch["learn"].to_numpy(zero_copy_only=False), sizes)
+        n = np.bincount(code, learned, len(different)).astype(np.int64)
+        rows, many = batch.num_rows, len(different)
+        none = lambda kind, k=many: pa.nulls(k, kind)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(rows, part)), pa.array(np.arange(row, row + rows)), batch["doc_id"],
+             batch["held_out"], pc.fill_null(batch["text"], ""), none(pa.int64(), rows), none(pa.int64(), rows)],
+            names,
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(many, part)), none(pa.int64()), none(pa.int64()), none(pa.bool_()),
+             none(pa.string()), pa.array(different.view(np.int64)), pa.array(n)],
+            names,
+        )
+        part, row = part + 1, row + rows
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(grams[0]), 200_000):
-            part = grams[0][a : a + 200_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block_of(part).astype(np.int32)),
-                    pa.array(part.view(np.int64)),
-                    pa.array(counts[0][a : a + 200_000]),
-                ],
-                ["block", "gram", "n"],
-            )
 
-    for batch in _chunks(batches):
-        code, different = pd.factorize(windows(_raw(batch["text"]))[0])
-        grams.append(different)
-        counts.append(np.bincount(code, minlength=len(different)))
-        size += len(different)
-        if size > 2 * HELD:
-            whole, n = _counted(grams, counts)
-            grams, counts, size = [whole], [n], len(whole)
-            if size > HELD:
-                yield from rows()
-                grams, counts, size = [], [], 0
-    if grams:
-        whole, n = _counted(grams, counts)
-        grams, counts = [whole], [n]
-        yield from rows()
-
-
-def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tables and sample of each block in the partition, which holds whole blocks."""
-    tables: dict[int, np.ndarray] = {}
-    kept: dict[int, pd.Series] = {}
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The windows of each block and their counts, from rows sorted by block."""
+    held, last = [], None
     for batch in batches:
-        blocks = batch["block"].to_numpy()
-        grams = batch["gram"].to_numpy().view(np.uint64)
-        counts = batch["n"].to_numpy()
-        order = np.argsort(blocks, kind="stable")
-        edges = np.flatnonzero(np.diff(blocks[order], prepend=-1, append=-1))
+        block = batch["block"].to_numpy()
+        grams, n = batch["gram"].to_numpy().view(np.uint64), batch["n"].to_numpy()
+        edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[a:b]
-            block, part, n = int(blocks[rows[0]]), grams[rows], counts[rows]
-            table = tables.setdefault(block, np.zeros((2, len(ORDERS) * SLOTS)))
-            at, bits = slots_of(part), bits_of(part)
-            spread = np.broadcast_to(n[:, None, None], at.shape)
-            ones = np.broadcast_to(bits[:, None, :] == 1, at.shape)
-            table[1] += np.bincount(at[ones], spread[ones], table.shape[1])
-            table[0] += np.bincount(at[~ones], spread[~ones], table.shape[1])
-            known = pd.concat([kept[block], pd.Series(n, part)]) if block in kept else pd.Series(n, part)
-            # a window with a small hash has all its rows here, so its count is whole
-            known = known.groupby(level=0).sum()
-            if len(known) > SAMPLE:
-                rank = np.argsort(_mixed(known.index.to_numpy(np.uint64)), kind="stable")[:SAMPLE]
-                known = known.iloc[rank]
-            kept[block] = known
-    for block, table in tables.items():
-        part, n = kept[block].index.to_numpy(np.uint64), kept[block].to_numpy(np.float64)
-        at, bits = slots_of(part), bits_of(part)
-        own = np.minimum(n, 1)[:, None, None]
-        one = (bits[:, None, :] == 1) * own
-        # the mixer learns from counts as they are stored
-        x, gate = inputs(
-            _COUNTS[quantised(np.maximum(table[0][at] - (own - one), 0))],
-            _COUNTS[quantised(np.maximum(table[1][at] - one, 0))],
-        )
+            if held and block[a] != last:
+                yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+                held = []
+            held.append((grams[a:b], n[a:b]))
+            last = block[a]
+    if held:
+        yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+
+
+def _seen(near, batches: Iterator[pa.RecordBatch]):
+    """Inputs, gates, bits and weights of the windows to learn from, block by block."""
+    for grams, n in _blocks(batches):
+        zeros, ones = mixing.counts_of(grams, n, near)
+        zeros, ones = mixing.without_itself(grams, n, zeros, ones)
+        real = np.flatnonzero(n)
+        # in no order that has to do with the text, but the same at every try
+        real = real[np.argsort(mixing._mixed(grams[real]), kind="stable")]
+        x, gates = mixing.inputs(zeros[real], ones[real])
+        yield x, gates, mixing.bits_of(grams[real]), np.sqrt(n[real])
+
+
+def _learned(near, start) -> Callable:
+    """For each gate of each mixer: the weights times what the gate saw, and that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, gates, bits, each in _seen(near.value, batches):
+            for kind, (weights, gate) in enumerate(zip(start.value, gates, strict=True)):
+                weights, seen = mixing.learned(weights, x, gate, bits, each)
+                at, i = np.nonzero(np.broadcast_to(seen[:, None] > 0, weights.shape))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), kind)), pa.array(at), pa.array(i),
+                     pa.array(weights[at, i] * seen[at]), pa.array(seen[at])],
+                    ["kind", "gate", "i", "value", "seen"],
+                )
+
+    return run
+
+
+def _mapped(near, weights) -> Callable:
+    """For each gate and point of the adaptive map: the ones, and all bits seen there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, ones = np.zeros((2, mixing.GATES[0], mixing.BUCKETS))
+        for x, gates, bits, each in _seen(near.value, batches):
+            at = (gates[0], mixing.nearest(mixing.sums(weights.value[0], x, gates[0])))
+            np.add.at(hits, at, each[:, None])
+            np.add.at(ones, at, each[:, None] * bits)
+        gate, i = np.nonzero(hits)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([block], pa.int32()),
-                *(pa.array([v.tobytes()], pa.binary()) for v in (
-                    quantised(table[0]).astype("<u2"), quantised(table[1]).astype("<u2"), x.astype("<f4"),
-                    gate.astype("<i4"), bits.astype("<i4"), n.astype("<f8"), part.astype("<u8"),
-                )),
-            ],
-            ["block", "zeros", "ones", "x", "gate", "bits", "n", "gram"],
+            [pa.array(np.zeros(len(gate), np.int64)), pa.array(gate), pa.array(i),
+             pa.array(ones[gate, i]), pa.array(hits[gate, i])],
+            ["kind", "gate", "i", "value", "seen"],
         )
 
+    return run
 
-def learn(documents: DataFrame) -> Model:
-    """A model of the texts of ``documents``.
 
-    What comes to the driver is the tables and the sample, both of fixed size.
-    """
-    counted = documents.select(F.col("text").cast("string")).mapInArrow(
-        _count_windows, "block int, gram bigint, n bigint"
+def _told(near, model) -> Callable:
+    """The margins of each window, as 16-bit floats."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grams, n in _blocks(batches):
+            zeros, ones = mixing.counts_of(grams, n, near.value)
+            for a in range(0, len(grams), 20_000):
+                part = slice(a, a + 20_000)
+                margins = model.value.margins(grams[part], zeros[part], ones[part]).astype("<f2")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(grams[part].view(np.int64)), pa.array([m.tobytes() for m in margins], pa.binary())],
+                    ["gram", "margins"],
+                )
+
+    return run
+
+
+def cut(documents: DataFrame, learn: Column) -> DataFrame:
+    """Texts and windows in parts; ``learn`` says which texts the model learns from."""
+    ready = documents.select(
+        F.col("doc_id").cast("bigint"),
+        (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
+        F.col("text").cast("string"),
+        learn.alias("learn"),
     )
-    filled = counted.repartition("block").mapInArrow(
-        _fill,
-        "block int, zeros binary, ones binary, x binary, gate binary, bits binary, n binary, gram binary",
+    return stored(
+        ready.mapInArrow(
+            _cut, "part bigint, row bigint, doc_id bigint, held_out boolean, text string, gram bigint, n bigint"
+        ),
+        "lm-parts",
     )
-    rows = stored(filled, "lm-tables").collect()
-    zeros, ones = np.zeros((2, BLOCKS, len(ORDERS) * SLOTS), np.uint16)
-    parts = []
-    for r in rows:
-        zeros[r.block] = np.frombuffer(r.zeros, "<u2")
-        ones[r.block] = np.frombuffer(r.ones, "<u2")
-        n = np.frombuffer(r.n, "<f8")
-        parts.append(
-            (
-                np.frombuffer(r.x, "<f4").reshape(len(n), 8, -1),
-                np.frombuffer(r.gate, "<i4").reshape(len(n), 8),
-                np.frombuffer(r.bits, "<i4").reshape(len(n), 8),
-                n,
-                np.frombuffer(r.gram, "<u8"),
-            )
-        )
-    if not parts:
-        empty = np.zeros((0, 8))
-        return Model(zeros, ones, learn_mixer(empty, empty, empty, np.zeros(0)))
-    x, gate, bits, n, gram = (np.concatenate(p) for p in zip(*parts, strict=True))
-    order = np.argsort(_mixed(gram * _MIX), kind="stable")
-    return Model(zeros, ones, learn_mixer(x[order], gate[order], bits[order], n[order]))
+
+
+def learn_model(spark: SparkSession, windows: DataFrame) -> tuple[mixing.Model, DataFrame]:
+    """The model of the counted ``windows`` (gram, n), and gram and margins of each."""
+    pair = F.col("gram").bitwiseAND(0xFFFF).cast("int")
+    # 65,536 rows at most
+    first = windows.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).collect()
+    near = spark.sparkContext.broadcast(
+        mixing.near_counts(np.array([r.pair for r in first], np.int64), np.array([r.n for r in first], float))
+    )
+    many = min(max(windows.count() // BLOCK_WINDOWS, 1), MOST_BLOCKS)
+    block = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(many)).cast("int")
+    dealt = windows.select(block.alias("block"), "gram", "n").repartition("block")
+    dealt = dealt.sortWithinPartitions("block", "gram")
+    schema = "kind bigint, gate bigint, i bigint, value double, seen double"
+
+    def summed(function: Callable) -> list:
+        # as many rows as there are weights, or points of the map
+        sums = dealt.mapInArrow(function, schema).groupBy("kind", "gate", "i")
+        return sums.agg(F.sum("value").alias("value"), F.sum("seen").alias("seen")).collect()
+
+    weights = mixing.start()
+    begin = spark.sparkContext.broadcast(weights)
+    weights = [w.copy() for w in weights]
+    for r in summed(_learned(near, begin)):
+        weights[r.kind][r.gate, r.i] = r.value / r.seen
+    shared = spark.sparkContext.broadcast(weights)
+    refined = mixing.map_start()
+    for r in summed(_mapped(near, shared)):
+        refined[r.gate, r.i] += r.seen / (r.seen + 50) * (r.value / r.seen - refined[r.gate, r.i])
+    model = mixing.Model(weights, refined)
+    told = dealt.mapInArrow(_told(near, spark.sparkContext.broadcast(model)), "gram bigint, margins binary")
+    made = stored(told, "lm-margins")
+    for value in (near, begin, shared):
+        value.unpersist()
+    return model, made
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -387,58 +245,82 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return stored(counted.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
 
 
-def _scored(model, head, ends: int):
-    """For each row: its number, its ids, the score, and the tokens that ``head`` lacks."""
+def _scored(head, ends: int) -> Callable:
+    """For each text: its ids, the score, and the tokens that ``head`` lacks.
+
+    Rows come sorted by part, the windows of a part before its texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, mixed = head.value, model.value
-        row, costs = TaskContext.get().partitionId() << 36, None
-        for batch in _chunks(batches):
-            scores, costs = mixed.scores(_raw(batch["text"]), costs)
-            offsets, words = _tokens(batch["text"])
-            names = words.dictionary.to_pylist()
-            blank = np.fromiter((w == "" for w in names), bool, len(names))
-            c = np.fromiter((known.get(w, 0) for w in names), np.int64, len(names))
-            index = words.indices.to_numpy()
-            real, there = ~blank[index], c[index] > 0
-            running = lambda v: np.diff(np.append(0, np.cumsum(v))[offsets])
-            logs = np.log10(c + 1.0)
-            # sums within each text only, as a running sum over all would lose digits
-            base = np.array(
-                [logs[index[a:b]].sum() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            )
-            rest = index[real & ~there]
-            places = np.append(0, np.cumsum(running(real & ~there))).astype(np.int32)
-            tail = pa.ListArray.from_arrays(
-                pa.array(places), words.dictionary.take(pa.array(rest)).cast(pa.string())
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + batch.num_rows)),
-                    batch["doc_id"],
-                    batch["held_out"],
-                    pa.array(running(real) + 1),
-                    pa.array(running(real & there) + (ends > 0)),
-                    pa.array(base + np.log10(ends + 1.0)),
-                    pa.array(scores),
-                    pc.fill_null(pc.binary_length(batch["text"]), 0).cast(pa.int64()),
-                    tail,
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "tail"],
-            )
-            row += batch.num_rows
+        part, held, index, margins = None, [], None, None
+        for batch in batches:
+            parts, kinds = batch["part"].to_numpy(), batch["kind"].to_numpy()
+            edges = np.flatnonzero(np.diff(parts * 2 + kinds, prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                piece = batch.slice(a, b - a)
+                if parts[a] != part:
+                    part, held, index, margins = parts[a], [], None, None
+                if kinds[a] == 0:
+                    told = np.frombuffer(b"".join(piece["margins"].to_pylist()), "<f2")
+                    held.append((piece["gram"].to_numpy(), told.reshape(-1, mixing.LAYERS, 8)))
+                    continue
+                if index is None:
+                    grams, margins = (np.concatenate(v) for v in zip(*held, strict=True))
+                    index, held = pd.Index(grams), []
+                for texts in _chunks(iter([piece])):
+                    grams, sizes = mixing.windows(_raw(texts["text"]))
+                    codes = index.get_indexer(grams.view(np.int64))
+                    yield _row(texts, mixing.mixed_online(margins, codes, sizes), head.value, ends)
 
     return run
 
 
-def score(documents: DataFrame, model: Model, counts: DataFrame, ends: int) -> DataFrame:
+def _row(batch: pa.RecordBatch, scores: np.ndarray, known: dict[str, int], ends: int) -> pa.RecordBatch:
+    offsets, words = _tokens(batch["text"])
+    names = words.dictionary.to_pylist()
+    blank = np.fromiter((w == "" for w in names), bool, len(names))
+    c = np.fromiter((known.get(w, 0) for w in names), np.int64, len(names))
+    index = words.indices.to_numpy()
+    real, there = ~blank[index], c[index] > 0
+    running = lambda v: np.diff(np.append(0, np.cumsum(v))[offsets])
+    logs = np.log10(c + 1.0)
+    # sums within each text only, as a running sum over all would lose digits
+    base = np.array([logs[index[a:b]].sum() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+    rest = index[real & ~there]
+    places = np.append(0, np.cumsum(running(real & ~there))).astype(np.int32)
+    tail = pa.ListArray.from_arrays(
+        pa.array(places), words.dictionary.take(pa.array(rest)).cast(pa.string())
+    )
+    return pa.RecordBatch.from_arrays(
+        [
+            batch["row"],
+            batch["doc_id"],
+            batch["held_out"],
+            pa.array(running(real) + 1),
+            pa.array(running(real & there) + (ends > 0)),
+            pa.array(base + np.log10(ends + 1.0)),
+            pa.array(scores),
+            pc.binary_length(batch["text"]).cast(pa.int64()),
+            tail,
+        ],
+        ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "n_bytes", "tail"],
+    )
+
+
+@run("lm-scored")
+def score(documents: DataFrame, learn: Column) -> DataFrame:
     """One row per row of ``documents`` with the base score and the model's score.
 
-    ``counts`` are those of ``word_counts``, ``ends`` the number of texts counted.
-    A null text counts as an empty one: it has the end as its only token, and only
-    the end as what the model predicts. A null id gives a null held_out.
+    ``learn`` is a condition on ``documents``: both models learn from the texts where it
+    is true. A null text counts as an empty one: it has the end as its only token, and
+    only the end as what the model predicts. A null id gives a null held_out. Repeated
+    rows are scored, and learned from, as often as they are there. Where nothing is to be
+    learned from, every bit is even.
     """
     spark = documents.sparkSession
+    learn = F.coalesce(learn, F.lit(False))
+    training = documents.filter(learn)
+    counts, ends = word_counts(training), training.count()
     powers = [1 << k for k in range(0, 62)]
     n, v, *at_least = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)),
@@ -448,14 +330,20 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, ends: int) -> D
     n, v = n + ends, v + (ends > 0)
     least = next((p for p, m in zip(powers, at_least, strict=True) if m <= HEAD_WORDS), powers[-1])
     head = {r.word: r.c for r in counts.filter(F.col("c") >= least).collect()}
-    ready = documents.select(
-        F.col("doc_id").cast("bigint"),
-        (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
-        F.col("text").cast("string"),
+
+    parts = cut(documents, learn)
+    windows = parts.filter(F.col("gram").isNotNull())
+    _, margins = learn_model(
+        spark, stored(windows.groupBy("gram").agg(F.sum("n").alias("n")), "lm-windows")
+    )
+    texts = parts.filter(F.col("gram").isNull()).select(
+        "part", F.lit(1).alias("kind"), "row", "doc_id", "held_out", "text"
     )
+    told = windows.select("part", "gram").join(margins, "gram").withColumn("kind", F.lit(0))
+    together = texts.unionByName(told, allowMissingColumns=True).repartition("part")
     made = stored(
-        ready.mapInArrow(
-            _scored(spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(head), ends),
+        together.sortWithinPartitions("part", "kind").mapInArrow(
+            _scored(spark.sparkContext.broadcast(head), ends),
             "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
             "logs double, score double, n_bytes bigint, tail array<string>",
         ),
@@ -486,7 +374,4 @@ def score(documents: DataFrame, model: Model, counts: DataFrame, ends: int) -> D
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of every document, by what the documents outside fold 2 of 7 teach."""
     documents = read_table(spark, folder, "documents").select("doc_id", "text")
-    training = documents.filter(
-        F.coalesce(remainder("doc_id", FOLDS) != HELD_OUT, F.lit(True))
-    )
-    return score(documents, learn(training), word_counts(training), training.count())
+    return score(documents, F.coalesce(remainder("doc_id", FOLDS) != HELD_OUT, F.lit(True)))

@@ -1,73 +1,146 @@
-"""The model's score of op6 against a mixer over exact counts of contexts."""
+"""The model's score of op6 against counts by brute force and mixing text by text."""
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerline.llm.lm_scoring import BUCKETS, GATES, Mixer, block_of, learn, quantised, score, word_counts
+from ledgerline.llm import context_mixing as mixing
+from ledgerline.llm.lm_scoring import learn_model, score
 
+LONG = max(mixing.ORDERS)
 
-def block(w):
-    return int(block_of(np.array([int.from_bytes(w, "big")], np.uint64))[0])
 
+def cuts(text):
+    padded = b"\0" * LONG + text.encode() + b"\0"
+    return [padded[i : i + LONG + 1] for i in range(len(padded) - LONG)]
 
-def exact_counts(texts):
-    """Zeros and ones after each context of a block and the bits of the byte so far, by brute force."""
-    grams = Counter(w for t in texts for w in cuts(t))
-    counts = Counter()
-    for w, n in grams.items():
-        for order in range(1, 6):
-            for bit in range(8):
-                node = (w[-1] | 256) >> (8 - bit)
-                counts[block(w), order, w[5 - order : 5], node, (w[-1] >> (7 - bit)) & 1] += n
-    return counts
 
+def places(w):
+    """order, context, bits so far, and the next bit, for each order and bit of a window."""
+    for order in mixing.ORDERS:
+        for bit in range(8):
+            yield order, w[LONG - order : LONG], (w[-1] | 256) >> (8 - bit), (w[-1] >> (7 - bit)) & 1
 
-def cuts(text):
-    padded = b"\0" * 5 + text.encode() + b"\0"
-    return [padded[i : i + 6] for i in range(len(padded) - 5)]
 
+def brute_counts(texts):
+    counts = Counter()
+    for w, n in Counter(w for t in texts for w in cuts(t)).items():
+        for place in places(w):
+            counts[place] += n
+    return counts
 
-def brute_score(text, counts, mixer):
-    total = 0.0
-    for w in cuts(text):
-        for bit in range(8):
-            node, own = (w[-1] | 256) >> (8 - bit), (w[-1] >> (7 - bit)) & 1
-            held = [[counts[block(w), order, w[5 - order : 5], node, v] for v in (0, 1)] for order in range(1, 6)]
-            stretch = [np.log((b + 0.02) / (a + 0.02)) for a, b in held]
-            sure = [min(np.log1p(a + b), 8) / 4 for a, b in held]
-            x = np.array(stretch + [u * v for u, v in zip(stretch, sure)] + [1])
-            gate = 8 * sum(a + b > 0 for a, b in held) + bit
-            s = np.clip((x * mixer.weights[gate]).sum(), -12, 12)
-            refined = np.interp(s, np.linspace(-12, 12, BUCKETS), mixer.refined[gate])
-            p = np.clip((1 / (1 + np.exp(-s)) + refined) / 2, 1 / 65536, 1 - 1 / 65536)
-            total += np.log10(p if own else 1 - p)
+
+def brute_margins(w, counts, model):
+    out = np.zeros((mixing.LAYERS, 8))
+    for bit in range(8):
+        node, own = (w[-1] | 256) >> (8 - bit), (w[-1] >> (7 - bit)) & 1
+        held = [[counts[o, w[LONG - o : LONG], node, v] for v in (0, 1)] for o in mixing.ORDERS]
+        stretch = [np.log((b + 0.02) / (a + 0.02)) for a, b in held]
+        sure = [min(np.log1p(a + b), 8) / 4 for a, b in held]
+        x = np.array(stretch + [u * v for u, v in zip(stretch, sure)] + [1])
+        known = sum(a + b > 0 for a, b in held)
+        level = int(min(np.log2(1 + sum(held[max(known - 1, 0)])), mixing.LEVELS - 1))
+        first, second = (
+            np.clip(x @ w[gate * 8 + bit], -mixing.REACH, mixing.REACH)
+            for w, gate in zip(model.weights, (known, level))
+        )
+        points = np.linspace(-mixing.REACH, mixing.REACH, mixing.BUCKETS)
+        p = np.clip(np.interp(first, points, model.refined[known * 8 + bit]), 1e-5, 1 - 1e-5)
+        out[:, bit] = np.array([first, np.log(p / (1 - p)), second]) * (1 if own else -1)
+    return out
+
+
+def brute_online(margins, rate=mixing.RATE):
+    """The last mixer byte by byte, its weights moved after every STEP bytes."""
+    weights, slope, total = np.full((mixing.LAYERS, 8), 1 / mixing.LAYERS), np.zeros((mixing.LAYERS, 8)), 0.0
+    for i, z in enumerate(margins):
+        p = 1 / (1 + np.exp(-np.clip((weights * z).sum(0), -mixing.REACH, mixing.REACH)))
+        total += np.log10(p).sum()
+        slope += (1 - p) * z
+        if (i + 1) % mixing.STEP == 0:
+            weights, slope = weights + rate * slope, np.zeros_like(slope)
     return total
 
 
-def test_no_count_is_clipped():
-    counts = np.array([0, 1, 100_000, 10_000_000, 2**40, 2**63 - 1], float)
-    told = 2 ** (quantised(counts) / 1024) - 1
-    assert told == pytest.approx(counts, rel=1e-3)
-
-
-def test_score_with_large_counts(spark):
-    """After an a come 800,000 and 100,000 bytes that differ in a bit."""
-    texts = ["aaaaaaaaab" * 10_000] * 10
-    training = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    model = learn(training)
-    counts = exact_counts(texts)
-    assert min(counts[block(b"aaaaaa"), 1, b"a", 0b1011000, v] for v in (0, 1)) > 65_000
-    asked = ["aaaaaaaaab" * 20, "ab" * 30, "abc", ""]
-    given = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string")
-    # the fitted weights, and plain means of the orders
-    even = Mixer(np.zeros((GATES, 11), np.float32), np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, BUCKETS))), (GATES, 1)))
-    even.weights[:, :5] = 0.2
-    for mixer in (model.mixer, even):
-        model.mixer = mixer
-        told = {r.doc_id: r.score for r in score(given, model, word_counts(training), len(texts)).collect()}
-        for i, text in enumerate(asked):
-            assert told[i] == pytest.approx(brute_score(text, counts, mixer), rel=2e-3)
+def made(words, n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def told(spark, texts, learn):
+    given = spark.createDataFrame(
+        [(i, t, i in learn) for i, t in enumerate(texts)], "doc_id long, text string, seen boolean"
+    )
+    return {r.doc_id: r for r in score(given, F.col("seen")).collect()}
+
+
+def counted(spark, texts):
+    grams, n = np.unique(mixing.windows([t.encode() for t in texts])[0], return_counts=True)
+    return spark.createDataFrame([(int(g), int(k)) for g, k in zip(grams, n)], "gram long, n long")
+
+
+@pytest.mark.parametrize("rate", [0, mixing.RATE, 0.05])
+def test_online_mixing_text_by_text(rate):
+    """Texts of many lengths side by side are mixed as each would be by itself."""
+    rng = np.random.default_rng(1)
+    margins = rng.normal(1, 3, (500, mixing.LAYERS, 8)).astype(np.float16)
+    sizes = np.array([1, 31, 32, 33, 64, 700, 5, 1, 2000] * 40)
+    codes = rng.integers(0, len(margins), sizes.sum())
+    got = mixing.mixed_online(margins, codes, sizes, rate)
+    ends = np.cumsum(sizes)
+    wanted = [brute_online(margins[codes[b - n : b]].astype(float), rate) for b, n in zip(ends, sizes)]
+    assert got == pytest.approx(np.array(wanted), rel=1e-4)
+
+
+def test_score_with_large_counts_and_unseen_contexts(spark, monkeypatch):
+    """Blocks of a few windows; after an a come 800,000 and 100,000 bytes that differ in a bit."""
+    monkeypatch.setattr("ledgerline.llm.lm_scoring.BLOCK_WINDOWS", 5)
+    texts = ["aaaaaaaaab" * 10_000] * 10 + ["the cat sat on the mat", "é 你好", None, ""]
+    counts = brute_counts([t or "" for t in texts])
+    assert min(counts[1, b"a", 0b1011000, v] for v in (0, 1)) > 65_000
+    asked = ["aaaaaaaaab" * 20, "ab" * 30, "the dog sat", "", None, "你 cat"]
+    learn = range(len(texts))
+    rows = told(spark, texts + asked, learn)
+    # windows that are only asked for take part with a count of none
+    every = counted(spark, [t or "" for t in texts]).union(
+        counted(spark, [t or "" for t in asked]).withColumn("n", F.lit(0).cast("long"))
+    )
+    model, _ = learn_model(spark, every.groupBy("gram").agg(F.sum("n").alias("n")))
+    for i, text in enumerate(asked):
+        margins = [brute_margins(w, counts, model) for w in cuts(text or "")]
+        assert rows[len(texts) + i].score == pytest.approx(brute_online(margins), rel=2e-3)
+
+
+def test_every_row_and_every_part(spark, monkeypatch):
+    """Parts of one text or of many give the same scores, and copies the same."""
+    texts = [made(["red", "green", "blue", "x" * 30], n, n) for n in (1, 3, 50, 400)] * 3
+    whole = told(spark, texts, range(0, 12, 2))
+    monkeypatch.setattr("ledgerline.llm.lm_scoring.CHUNK", 10)
+    cut = told(spark, texts, range(0, 12, 2))
+    assert len(whole) == len(cut) == 12
+    for i in range(12):
+        assert whole[i].score == pytest.approx(cut[i].score, rel=1e-3)
+        assert whole[i].score == pytest.approx(whole[i % 4].score, rel=1e-6)
+
+
+def test_learning_helps_on_unseen_texts(spark):
+    """Texts like the ones learned from cost less than others, and weights that move less than fixed ones."""
+    words = [made("abcdefghij", 6, k).replace(" ", "") for k in range(300)]
+    texts = [made(words, 200, k) for k in range(40)] + [made(list("klmnopqrst"), 400, 99)]
+    rows = told(spark, texts, range(30))
+    unseen = np.mean([rows[i].bits_per_byte for i in range(30, 40)])
+    nothing = told(spark, texts, [])
+    assert unseen < 0.4 * rows[40].bits_per_byte
+    assert unseen < 0.4 * np.mean([nothing[i].bits_per_byte for i in range(30, 40)])
+    model, margins = learn_model(spark, counted(spark, texts[:30]))
+    there = {r.gram: np.frombuffer(r.margins, "<f2").reshape(-1, 8) for r in margins.collect()}
+    # a text of another kind, made of windows that the model knows
+    odd = list(there)[:2000]
+    table = np.stack([there[g] for g in odd])
+    moved, fixed = (mixing.mixed_online(table, np.arange(2000), np.array([2000]), r)[0] for r in (mixing.RATE, 0))
+    assert moved > fixed
