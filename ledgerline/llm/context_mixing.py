@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 
 #: Context bytes of the predictors. Only the first is shorter than what names a block.
-ORDERS = (1, 2, 3, 4, 6)
+ORDERS = (1, 2, 3, 4, 5)
 WIDTH = max(ORDERS) + 1
 #: Inputs of a mixer: two for each order, and a constant.
 INPUTS = 2 * len(ORDERS) + 1
@@ -25,6 +25,8 @@ GATES = (8 * (len(ORDERS) + 1), 8 * LEVELS)
 BUCKETS, REACH = 33, 12.0
 #: Margins of a bit: of the first mixer, of the adaptive map after it, of the second mixer.
 LAYERS = 3
+#: Whole steps of a margin in each direction, so that the eight bits of a layer are one long.
+MARGIN_STEPS = 127
 #: Bytes of a text after which its own weights are updated, and the step of an update.
 STEP, RATE = 32, 0.005
 #: Texts that are mixed side by side.
@@ -178,10 +180,15 @@ class Model:
         return np.where(bits_of(grams)[:, None, :] == 1, layers, -layers)
 
 
+def rounded(margins: np.ndarray) -> np.ndarray:
+    """Margins in whole steps of REACH / MARGIN_STEPS."""
+    return np.rint(np.clip(margins / REACH, -1, 1) * MARGIN_STEPS).astype(np.int8)
+
+
 def mixed_online(margins: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rate: float = RATE) -> np.ndarray:
     """log10 of the probability of each text, whose weights of the layers move along it.
 
-    ``margins`` are [windows, LAYERS, 8], ``codes`` the window of each byte of the texts
+    ``margins`` are [windows, LAYERS, 8] as ``rounded`` gives them, ``codes`` the window of each byte of the texts
     one after the other. Each text starts with equal weights, one set a bit position, and
     after STEP bytes they take a step down the slope of what those bytes cost. So a byte
     is predicted from the bytes before it only.
@@ -189,7 +196,7 @@ def mixed_online(margins: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rate
     none = len(margins)
     layers = [np.zeros((none + 1, 8), np.float32) for _ in range(LAYERS)]
     for i, layer in enumerate(layers):
-        layer[:none] = margins[:, i]
+        layer[:none] = margins[:, i] * np.float32(REACH / MARGIN_STEPS)
     starts, out = np.cumsum(sizes) - sizes, np.empty(len(sizes))
     order = np.argsort(-sizes, kind="stable")
     for a in range(0, len(order), LANES):

@@ -41,19 +41,23 @@ from ledgerline.sources import read_table
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts are sent to every task at most; the rest is joined.
 HEAD_WORDS = 100_000
-#: Bytes of text of a part, about; one text at least.
-CHUNK = 8_000_000
+#: Bytes of text of a part, about, and of what a task works on at once; one text at least.
+PART, CHUNK = 16_000_000, 4_000_000
+#: Windows that a task deals to their parts at once, about.
+DEALT = 500_000
+#: The columns of the margins.
+LAYERS = [f"layer{i}" for i in range(mixing.LAYERS)]
 #: Different windows of a block, about, and the number of blocks that there can be.
 BLOCK_WINDOWS, MOST_BLOCKS = 50_000, 65_536
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about CHUNK bytes of text, one row at least."""
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``most`` bytes of text, one row at least."""
     for batch in batches:
         start, size = 0, 0
         lengths = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths):
-            if i > start and size + n > CHUNK:
+            if i > start and size + n > most:
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n
@@ -69,11 +73,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The texts with the part and row that they got, and the windows of each part."""
     part = row = TaskContext.get().partitionId() << 36
     names = ["part", "row", "doc_id", "held_out", "text", "gram", "n"]
-    for batch in _chunks(batches):
-        grams, sizes = mixing.windows(_raw(batch["text"]))
-        code, different = pd.factorize(grams)
-        learned = np.repeat(batch["learn"].to_numpy(zero_copy_only=False), sizes)
-        n = np.bincount(code, learned, len(different)).astype(np.int64)
+    for batch in _chunks(batches, PART):
+        found = []
+        for texts in _chunks(iter([batch]), CHUNK):
+            grams, sizes = mixing.windows(_raw(texts["text"]))
+            code, different = pd.factorize(grams)
+            learned = np.repeat(texts["learn"].to_numpy(zero_copy_only=False), sizes)
+            found.append((different, np.bincount(code, learned, len(different))))
+            del grams, code, learned
+        grams, n = (np.concatenate(v) for v in zip(*found, strict=True))
+        different, code = np.unique(grams, return_inverse=True)
+        n = np.bincount(code, n, len(different)).astype(np.int64)
         rows, many = batch.num_rows, len(different)
         none = lambda kind, k=many: pa.nulls(k, kind)
         yield pa.RecordBatch.from_arrays(
@@ -155,17 +165,18 @@ def _mapped(near, weights) -> Callable:
 
 
 def _told(near, model) -> Callable:
-    """The margins of each window, as 16-bit floats."""
+    """The margins of each window, a long for each layer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for grams, n in _blocks(batches):
             zeros, ones = mixing.counts_of(grams, n, near.value)
             for a in range(0, len(grams), 20_000):
                 part = slice(a, a + 20_000)
-                margins = model.value.margins(grams[part], zeros[part], ones[part]).astype("<f2")
+                margins = mixing.rounded(model.value.margins(grams[part], zeros[part], ones[part]))
+                layers = margins.view(np.int64)[:, :, 0]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[part].view(np.int64)), pa.array([m.tobytes() for m in margins], pa.binary())],
-                    ["gram", "margins"],
+                    [pa.array(grams[part].view(np.int64)), *(pa.array(layers[:, i]) for i in range(mixing.LAYERS))],
+                    ["gram", *LAYERS],
                 )
 
     return run
@@ -216,7 +227,7 @@ def learn_model(spark: SparkSession, windows: DataFrame) -> tuple[mixing.Model,
     for r in summed(_mapped(near, shared)):
         refined[r.gate, r.i] += r.seen / (r.seen + 50) * (r.value / r.seen - refined[r.gate, r.i])
     model = mixing.Model(weights, refined)
-    told = dealt.mapInArrow(_told(near, spark.sparkContext.broadcast(model)), "gram bigint, margins binary")
+    told = dealt.mapInArrow(_told(near, spark.sparkContext.broadcast(model)), "gram bigint, " + ", ".join(f"{c} bigint" for c in LAYERS))
     made = stored(told, "lm-margins")
     for value in (near, begin, shared):
         value.unpersist()
@@ -230,7 +241,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _chunks(batches):
+    for batch in _chunks(batches, CHUNK):
         _, words = _tokens(batch["text"])
         counts = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
         made = pa.RecordBatch.from_arrays([words.dictionary, pa.array(counts)], ["word", "c"])
@@ -245,6 +256,28 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return stored(counted.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows and margins put together by part, in few rows: longs one after the other."""
+    held, size = [], 0
+
+    def rows() -> pa.RecordBatch:
+        part, *longs = (np.concatenate(v) for v in zip(*held, strict=True))
+        order = np.argsort(part, kind="stable")
+        part, longs = part[order], np.stack(longs, axis=1)[order]
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        raw = [longs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(raw, pa.binary())], ["part", "told"])
+
+    for batch in batches:
+        held.append([batch[c].to_numpy() for c in ["part", "gram", *LAYERS]])
+        size += batch.num_rows
+        if size > DEALT:
+            yield rows()
+            held, size = [], 0
+    if size:
+        yield rows()
+
+
 def _scored(head, ends: int) -> Callable:
     """For each text: its ids, the score, and the tokens that ``head`` lacks.
 
@@ -261,13 +294,13 @@ def _scored(head, ends: int) -> Callable:
                 if parts[a] != part:
                     part, held, index, margins = parts[a], [], None, None
                 if kinds[a] == 0:
-                    told = np.frombuffer(b"".join(piece["margins"].to_pylist()), "<f2")
-                    held.append((piece["gram"].to_numpy(), told.reshape(-1, mixing.LAYERS, 8)))
+                    held += piece["told"].to_pylist()
                     continue
                 if index is None:
-                    grams, margins = (np.concatenate(v) for v in zip(*held, strict=True))
-                    index, held = pd.Index(grams), []
-                for texts in _chunks(iter([piece])):
+                    longs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 1 + mixing.LAYERS)
+                    index, held = pd.Index(longs[:, 0].copy()), []
+                    margins = np.ascontiguousarray(longs[:, 1:]).view(np.int8).reshape(-1, mixing.LAYERS, 8)
+                for texts in _chunks(iter([piece]), CHUNK):
                     grams, sizes = mixing.windows(_raw(texts["text"]))
                     codes = index.get_indexer(grams.view(np.int64))
                     yield _row(texts, mixing.mixed_online(margins, codes, sizes), head.value, ends)
@@ -339,7 +372,13 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     texts = parts.filter(F.col("gram").isNull()).select(
         "part", F.lit(1).alias("kind"), "row", "doc_id", "held_out", "text"
     )
-    told = windows.select("part", "gram").join(margins, "gram").withColumn("kind", F.lit(0))
+    told = (
+        windows.select("part", "gram")
+        .join(margins, "gram")
+        .select("part", "gram", *LAYERS)
+        .mapInArrow(_dealt, "part bigint, told binary")
+        .withColumn("kind", F.lit(0))
+    )
     together = texts.unionByName(told, allowMissingColumns=True).repartition("part")
     made = stored(
         together.sortWithinPartitions("part", "kind").mapInArrow(

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import context_mixing as mixing
-from ledgerline.llm.lm_scoring import learn_model, score
+from ledgerline.llm.lm_scoring import LAYERS, learn_model, score
 
 LONG = max(mixing.ORDERS)
 
@@ -52,7 +52,8 @@ def brute_margins(w, counts, model):
         points = np.linspace(-mixing.REACH, mixing.REACH, mixing.BUCKETS)
         p = np.clip(np.interp(first, points, model.refined[known * 8 + bit]), 1e-5, 1 - 1e-5)
         out[:, bit] = np.array([first, np.log(p / (1 - p)), second]) * (1 if own else -1)
-    return out
+    step = mixing.REACH / mixing.MARGIN_STEPS
+    return np.round(out / step) * step
 
 
 def brute_online(margins, rate=mixing.RATE):
@@ -88,12 +89,12 @@ def counted(spark, texts):
 def test_online_mixing_text_by_text(rate):
     """Texts of many lengths side by side are mixed as each would be by itself."""
     rng = np.random.default_rng(1)
-    margins = rng.normal(1, 3, (500, mixing.LAYERS, 8)).astype(np.float16)
+    margins = mixing.rounded(rng.normal(1, 3, (500, mixing.LAYERS, 8)))
     sizes = np.array([1, 31, 32, 33, 64, 700, 5, 1, 2000] * 40)
     codes = rng.integers(0, len(margins), sizes.sum())
     got = mixing.mixed_online(margins, codes, sizes, rate)
     ends = np.cumsum(sizes)
-    wanted = [brute_online(margins[codes[b - n : b]].astype(float), rate) for b, n in zip(ends, sizes)]
+    wanted = [brute_online(margins[codes[b - n : b]] * (mixing.REACH / mixing.MARGIN_STEPS), rate) for b, n in zip(ends, sizes)]
     assert got == pytest.approx(np.array(wanted), rel=1e-4)
 
 
@@ -120,7 +121,7 @@ def test_every_row_and_every_part(spark, monkeypatch):
     """Parts of one text or of many give the same scores, and copies the same."""
     texts = [made(["red", "green", "blue", "x" * 30], n, n) for n in (1, 3, 50, 400)] * 3
     whole = told(spark, texts, range(0, 12, 2))
-    monkeypatch.setattr("ledgerline.llm.lm_scoring.CHUNK", 10)
+    monkeypatch.setattr("ledgerline.llm.lm_scoring.PART", 10)
     cut = told(spark, texts, range(0, 12, 2))
     assert len(whole) == len(cut) == 12
     for i in range(12):
@@ -138,7 +139,7 @@ def test_learning_helps_on_unseen_texts(spark):
     assert unseen < 0.4 * rows[40].bits_per_byte
     assert unseen < 0.4 * np.mean([nothing[i].bits_per_byte for i in range(30, 40)])
     model, margins = learn_model(spark, counted(spark, texts[:30]))
-    there = {r.gram: np.frombuffer(r.margins, "<f2").reshape(-1, 8) for r in margins.collect()}
+    there = {r.gram: np.array([r[c] for c in LAYERS]).view(np.int8).reshape(-1, 8) for r in margins.collect()}
     # a text of another kind, made of windows that the model knows
     odd = list(there)[:2000]
     table = np.stack([there[g] for g in odd])
