@@ -30,12 +30,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import context_mixing as mixing
-from ledgerline.llm.common import remainder, run, stored
+from ledgerline.llm.common import drop, remainder, run, stored
 from ledgerline.sources import read_table
 
 FOLDS, HELD_OUT = 7, 2
@@ -257,7 +258,8 @@ def word_counts(documents: DataFrame) -> DataFrame:
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows and margins put together by part, in few rows: longs one after the other."""
+    """Windows and margins put together by part, in few rows: columns of longs, compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
     held, size = [], 0
 
     def rows() -> pa.RecordBatch:
@@ -265,7 +267,7 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(part, kind="stable")
         part, longs = part[order], np.stack(longs, axis=1)[order]
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-        raw = [longs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        raw = [pack(longs[a:b].T.tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(raw, pa.binary())], ["part", "told"])
 
     for batch in batches:
@@ -285,6 +287,7 @@ def _scored(head, ends: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         part, held, index, margins = None, [], None, None
         for batch in batches:
             parts, kinds = batch["part"].to_numpy(), batch["kind"].to_numpy()
@@ -294,10 +297,12 @@ def _scored(head, ends: int) -> Callable:
                 if parts[a] != part:
                     part, held, index, margins = parts[a], [], None, None
                 if kinds[a] == 0:
-                    held += piece["told"].to_pylist()
+                    for raw in piece["told"].to_pylist():
+                        columns = np.frombuffer(unpack(raw), np.int64).reshape(1 + mixing.LAYERS, -1)
+                        held.append(columns.T)
                     continue
                 if index is None:
-                    longs = np.frombuffer(b"".join(held), np.int64).reshape(-1, 1 + mixing.LAYERS)
+                    longs = np.concatenate(held)
                     index, held = pd.Index(longs[:, 0].copy()), []
                     margins = np.ascontiguousarray(longs[:, 1:]).view(np.int8).reshape(-1, mixing.LAYERS, 8)
                 for texts in _chunks(iter([piece]), CHUNK):
@@ -366,9 +371,9 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
 
     parts = cut(documents, learn)
     windows = parts.filter(F.col("gram").isNotNull())
-    _, margins = learn_model(
-        spark, stored(windows.groupBy("gram").agg(F.sum("n").alias("n")), "lm-windows")
-    )
+    different = stored(windows.groupBy("gram").agg(F.sum("n").alias("n")), "lm-windows")
+    _, margins = learn_model(spark, different)
+    drop(different)  # and the shuffles so far, which nothing reads again
     texts = parts.filter(F.col("gram").isNull()).select(
         "part", F.lit(1).alias("kind"), "row", "doc_id", "held_out", "text"
     )
