@@ -26,7 +26,10 @@ The join over many machines goes in these steps, none of which loses a link:
    components that pass the bound. No task holds more than two blocks at a time.
 5. These pairs are verified too. Verified pairs make the components.
 
-A pair is verified by the overlap of the whole sets.
+A pair is verified by the overlap of the whole sets. Before the sets meet, their parities
+do: for each of some thousand groups of hashes, whether a set has an odd number in it. Two
+sets differ in at least as many shingles as their parities differ in groups, so pairs that
+differ too much for a link are told from a thirtieth of the bytes.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import drop, fields, left_out, run, stored
+from ledgerline.llm.common import drop, fields, left_out, run, sifted, stored
 from ledgerline.llm.components import components
 from ledgerline.llm.word_hashes import hashed_words, inside, mixed, parts, shingles
 from ledgerline.sources import read_table
@@ -50,6 +53,8 @@ GROUPS = 256
 #: Entries of a leaf of the R-tree, and of a block of a cell.
 LEAF = 32
 BLOCK = 8192
+#: Groups of the parity of a set: a power of two, from twice its size on, within these.
+LEAST_GROUPS, MOST_GROUPS = 64, 2**17
 #: Entries of a bucket of cells, about.
 BUCKET = 100_000
 #: A cell is a hub when over 1 / HUBS of all entries of large tables are known to be in it,
@@ -177,37 +182,83 @@ def sketches(documents: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each group of hashes whether a set has an odd number in it, packed in bytes.
+
+    A set of half the groups has the groups of the larger one put together in twos: group
+    i with i + half, so that its parity is that of the larger one folded.
+    """
+    groups = min(max(1 << (2 * len(hashes)).bit_length(), LEAST_GROUPS), MOST_GROUPS)
+    held = np.bincount((hashes >> np.uint64(8)).astype(np.int64) & (groups - 1), minlength=groups)
+    return np.packbits((held & 1).astype(np.uint8))
+
+
+def least_difference(one: np.ndarray, other: np.ndarray) -> int:
+    """How many shingles two sets differ in at least, by their parities."""
+    if len(one) < len(other):
+        one, other = other, one
+    while len(one) > len(other):
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
+    return int(np.bitwise_count(one ^ other).sum())
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             text, hashes = shingle_sets(batch["text"], size)
-            ends = np.append(0, np.cumsum(np.bincount(text, minlength=batch.num_rows)))
+            counts = np.bincount(text, minlength=batch.num_rows)
+            ends = np.append(0, np.cumsum(counts))
+            sets = [hashes[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
-                    pa.array(
-                        [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)],
-                        pa.binary(),
-                    ),
+                    pa.array(counts),
+                    pa.array([parity(s).tobytes() for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["node", "shingles"],
+                ["node", "n", "parity", "shingles"],
             )
 
     return run
 
 
+def _may_link(rule: Rule):
+    """The pairs whose parities (p, q) leave room for a link of sets of m and n shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch["m"].to_numpy() + batch["n"].to_numpy()
+            least = [
+                least_difference(*(np.frombuffer(v.as_buffer(), np.uint8) for v in two))
+                for two in zip(batch["p"], batch["q"], strict=True)
+            ]
+            may = np.array(least, np.int64) <= total - 2 * rule.overlap(total)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return run
+
+
 @run("jaccard-links")
 def verified(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose documents have a link."""
     pairs = stored(pairs, "jaccard-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-nodes")
+    # most texts are in no pair, and stay where they are
+    texts, _ = sifted(documents, nodes, F.col("doc_id"), F.col("node"))
     sets = stored(
-        documents.join(nodes, F.col("doc_id") == F.col("node"))
+        texts.join(nodes, F.col("doc_id") == F.col("node"))
         .dropDuplicates(["doc_id"])
         .select("doc_id", "text")
-        .mapInArrow(_sets(rule.size), "node bigint, shingles binary"),
+        .mapInArrow(_sets(rule.size), "node bigint, n bigint, parity binary, shingles binary"),
         "jaccard-sets",
     )
+    near = stored(
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("parity").alias("p")), "a")
+        .join(sets.select(F.col("node").alias("b"), "n", F.col("parity").alias("q")), "b")
+        .select("a", "b", "m", "n", "p", "q")
+        .mapInArrow(_may_link(rule), "a bigint, b bigint"),
+        "jaccard-near",
+    )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,7 +271,7 @@ def verified(pairs: DataFrame, documents: DataFrame, rule: Rule) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+        near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(check, "a bigint, b bigint")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import let, run, salted, stored, text_of
+from ledgerline.llm.common import let, run, salted, sifted, stored, text_of
 from ledgerline.sources import read_table
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -465,14 +465,18 @@ def redact(documents: DataFrame) -> DataFrame:
             F.substring(text, F.get(covered, F.size(covered) - 1) + 1, F.length(text)),
         ),
     )
+    # most texts have no span, and stay where they are
+    found, plain = sifted(documents.select(F.struct("*").alias("row")), hits, row["doc_id"], F.col("doc_id"))
+    none = F.lit(None).cast(hits.schema["spans"].dataType)
     joined_rows = (
-        documents.select(F.struct("*").alias("row"))
-        .join(
+        found.join(
             hits.toDF("hit_id", "hit_key", "spans"),
             row["doc_id"].eqNullSafe(F.col("hit_id")) & (text_key(F.coalesce(text, F.lit(""))) == F.col("hit_key")),
             "left",
         )
+        .select("row", "spans")
         .withColumn("clean", F.when(F.col("spans").isNull(), text).otherwise(clean))
+        .union(plain.select("row", none.alias("spans"), text.alias("clean")))
     )
 
     def of(name: str) -> Column:
