@@ -16,8 +16,11 @@ which are made block by block for the whole batch, not node by node.
    other side is cut into blocks, so that a long text goes nowhere as a whole.
 4. Passages around the two places are compared exactly.
 5. A row whose place is in no hit with its centre is compared with all rows of other
-   texts in its cell. The rows left out hang together by the centre. This grows with
-   the square of the unlike rows of a cell.
+   texts in its cell. The rows left out hang together by the centre. In a cell with
+   many rows, only those are compared that share one of the rarest shingles of a
+   passage each: alike ones do (a prefix filter), so no hit is lost. A short phrase
+   that many texts share thus costs no comparison of all its rows; what still grows
+   with a square are rows whose passages are almost alike.
 
 Two passages of the least similarity share a cell of a band with a probability of
 0.64, and one of the three bands with 0.95; passages that repeat exactly always do.
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import stored, text_of, words_of
@@ -47,8 +50,10 @@ PERCENT = 80
 BANDS = 3
 #: Passages of a block of the other side.
 BLOCK = 1024
-#: Rows of a cell for each of its salts, about.
-CROWD = 1000
+#: A cell with so many rows goes by the rare shingles of their passages.
+CROWD = 100
+#: Shingles in more rows of such a cell are put in order by how many, the others come before them.
+OFTEN = 10
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -188,6 +193,8 @@ def alike(own: np.ndarray, theirs: np.ndarray) -> np.ndarray:
         return out
     found = np.minimum(np.searchsorted(ordered, own), size - 1)
     here = np.flatnonzero(ordered[found] == own)
+    if 100 * len(here) < PERCENT * (2 * WIDTH - len(here)):
+        return np.zeros(n, bool)  # too few common shingles for any passage
     there = order[found[here]]
     # a common shingle counts for the passages that hold it on both sides
     low = np.maximum(np.maximum(here, there) - WIDTH + 1, 0)
@@ -246,18 +253,20 @@ def _paired(rows: DataFrame) -> DataFrame:
     That is the cell's least one; for further rows of the least text it is the greatest
     one. The least row itself is the other side of those, and has a null centre.
     """
-    row = F.struct("node", "place")
-    cells = (
-        rows.groupBy("cell")
-        .agg(F.min(row).alias("least"), F.max(row).alias("greatest"))
-        .filter("greatest.node > least.node")
-    )
+    row, cell = F.struct("node", "place"), Window.partitionBy("cell")
     other = F.when(F.col("node") != F.col("least.node"), F.col("least")).when(
         F.col("place") != F.col("least.place"), F.col("greatest")
     )
-    return rows.join(cells, "cell").withColumn("other", other).select(
-        "node", "cell", "place",
-        F.col("other.node").alias("centre"), F.col("other.place").alias("centre_place"),
+    # one shuffle of all rows: most cells have one, so it is not worth looking for the others first
+    return (
+        rows.withColumn("least", F.min(row).over(cell))
+        .withColumn("greatest", F.max(row).over(cell))
+        .filter("greatest.node > least.node")
+        .withColumn("other", other)
+        .select(
+            "node", "cell", "place",
+            F.col("other.node").alias("centre"), F.col("other.place").alias("centre_place"),
+        )
     )
 
 
@@ -281,7 +290,7 @@ def _marked(shared: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-_AROUND = "node bigint, cell bigint, place int, open boolean, salts int, back int, around binary"
+_AROUND = "node bigint, cell bigint, place int, open boolean, crowded boolean, back int, around binary"
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +310,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                         pa.array([p - low for p, low in zip(places, lows, strict=True)], pa.int32()),
                         pa.array([own[low : p + WIDTH].tobytes() for p, low in zip(places, lows, strict=True)], pa.binary()),
                     ],
-                    ["node", "cell", "place", "open", "salts", "back", "around"],
+                    ["node", "cell", "place", "open", "crowded", "back", "around"],
                 )
 
 
@@ -327,39 +336,119 @@ def _compare_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle around a place, numbered."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1000):
+            rows = batch.slice(a, 1000)
+            around = [np.frombuffer(x.as_buffer(), np.int64) for x in rows["around"]]
+            sizes = np.fromiter(map(len, around), np.int64, len(around))
+            each = pa.array(np.repeat(np.arange(len(around)), sizes))
+            at = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            names = ["node", "cell", "place", "open"]
+            yield pa.RecordBatch.from_arrays(
+                [*(rows[k].take(each) for k in names), pa.array(at.astype(np.int32)), pa.array(np.concatenate(around))],
+                [*names, "at", "shingle"],
+            )
+
+
+def rarest(own: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles of which each passage of ``own`` needs one in any passage it is alike.
+
+    ``often`` tells for each place of ``own`` how often its shingle occurs, the same for all rows
+    that are compared. Of n different shingles, alike passages share PERCENT of a hundred
+    at least, so among any order of all shingles they share one of the first of each.
+    """
+    if len(own) < WIDTH:
+        return own[:0]
+    different, first, code = np.unique(own, return_index=True, return_inverse=True)
+    order = np.lexsort((different, often[first]))
+    rank = np.argsort(order)[code]
+    passages = np.lib.stride_tricks.sliding_window_view(rank, WIDTH)
+    needed = lambda n: n - -(-PERCENT * n // 100) + 1
+    if len(different) == len(own):
+        k = needed(WIDTH)
+        chosen = np.unique(np.partition(passages, k - 1, axis=1)[:, :k])
+    else:
+        sets = [np.unique(p) for p in passages]
+        chosen = np.unique(np.concatenate([p[: needed(len(p))] for p in sets]))
+    return different[order[chosen]]
+
+
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = batch["held"].offsets.to_numpy()
+        at, shingle, often = (batch["held"].values.field(k).to_numpy() for k in range(3))
+        found = []
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            order = a + np.argsort(at[a:b])
+            found.append(rarest(shingle[order], often[order]))
+        each = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        names = ["node", "cell", "place", "open"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch[k].take(each) for k in names), pa.array(np.concatenate(found))], [*names, "shingle"]
+        )
+
+
+#: Two open rows meet once.
+_MEET = "node < partner OR (node > partner AND NOT partner_open)"
+
+
+def _crowded(around: DataFrame) -> DataFrame:
+    """Both nodes and places of the rows to compare, of all rows of these cells."""
+    rows = "node bigint, cell bigint, place int, open boolean"
+    each = around.mapInArrow(_shingled, f"{rows}, at int, shingle bigint")
+    often = stored(
+        each.groupBy("cell", "shingle").agg(F.count("*").alias("often")).filter(F.col("often") > OFTEN), "windows-often"
+    )
+    held = F.struct("at", "shingle", F.coalesce("often", F.lit(0)).cast("bigint").alias("often"))
+    rare = stored(
+        each.join(often, ["cell", "shingle"], "left")
+        .groupBy("node", "cell", "place", "open")
+        .agg(F.collect_set(held).alias("held"))
+        .mapInArrow(_rare, f"{rows}, shingle bigint"),
+        "windows-rare",
+    )
+    others = rare.select(
+        "cell", "shingle",
+        F.col("node").alias("partner"), F.col("place").alias("partner_place"), F.col("open").alias("partner_open"),
+    )
+    met = rare.filter("open").join(others, ["cell", "shingle"]).filter(_MEET)
+    return met.select("node", "place", "partner", "partner_place").distinct()
+
+
 def _rest_compared(marked: DataFrame, texts: DataFrame) -> DataFrame:
     """The hits of every open row of ``marked`` with all rows of other texts in its cell.
 
-    Rows that are not open hang together by their centre. The open rows of a cell with
-    many rows are dealt by salts, its other rows go to each.
+    Rows that are not open hang together by their centre.
     """
     cells = (
         marked.groupBy("cell")
         .agg(F.max("open").alias("any"), F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("held"))
         .filter("any AND most > least")
-        .select("cell", F.expr(f"cast(1 + held div {CROWD} as int)").alias("salts"))
+        .select("cell", (F.col("held") >= CROWD).alias("crowded"))
     )
     wanted = marked.join(cells, "cell").groupBy("node").agg(
-        F.collect_list(F.struct("cell", "place", "open", "salts")).alias("wanted")
+        F.collect_list(F.struct("cell", "place", "open", "crowded")).alias("wanted")
     )
     around = stored(texts.join(wanted, "node").select("node", "wanted", "text").mapInArrow(_surroundings, _AROUND), "windows-around")
-    dealt = around.filter("open").withColumn("salt", F.expr("cast(pmod(xxhash64(node, place), salts) as int)"))
-    others = around.select(
+    few, many = around.filter("NOT crowded"), around.filter("crowded")
+    others = lambda rows: rows.select(
         "cell",
-        F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"),
         F.col("node").alias("partner"),
         F.col("place").alias("partner_place"),
         F.col("open").alias("partner_open"),
         F.col("back").alias("partner_back"),
         F.col("around").alias("partner_around"),
     )
-    # two open rows meet once
-    return (
-        dealt.join(others, ["cell", "salt"]).filter("node < partner OR (node > partner AND NOT partner_open)")
-        .select("node", "place", "back", "around", "partner", "partner_place", "partner_back", "partner_around")
-        .mapInArrow(_compare_around, "node bigint, partner bigint, first int, last int")
-        .distinct()
+    columns = ["node", "place", "back", "around", "partner", "partner_place", "partner_back", "partner_around"]
+    pairs = few.filter("open").join(others(few), "cell").filter(_MEET).select(columns)
+    met = _crowded(many).select(
+        "node", "place", F.col("partner").alias("centre"), F.col("partner_place").alias("centre_place")
     )
+    found = pairs.mapInArrow(_compare_around, "node bigint, partner bigint, first int, last int")
+    # texts that meet in many cells of one passage are compared once there
+    return found.union(_compared(met, texts)).distinct()
 
 
 def passages(texts: DataFrame) -> DataFrame:
@@ -367,7 +456,7 @@ def passages(texts: DataFrame) -> DataFrame:
 
     ``texts`` has node, one row each, and text.
     """
-    rows = stored(texts.select("node", "text").mapInArrow(_cells, "node bigint, cell bigint, place int"), "windows-cells")
+    rows = texts.select("node", "text").mapInArrow(_cells, "node bigint, cell bigint, place int")
     shared = stored(_paired(rows).filter("centre IS NOT NULL"), "windows-shared")
     found = stored(_compared(shared, texts), "windows-hits")
     return found.union(stored(_rest_compared(_marked(shared, found), texts), "windows-hits"))
