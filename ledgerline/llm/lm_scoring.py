@@ -257,17 +257,38 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return stored(counted.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
 
 
+def _packed(grams: np.ndarray, margins: np.ndarray) -> bytes:
+    """Different windows in order and their margins, compressed: all first bytes, all second ones, and so on.
+
+    Of a window there is the step from the one before, and of the layers after the first
+    what they differ from it by, modulo 256: both are mostly small.
+    """
+    steps = np.diff(grams.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    layers = margins.view(np.uint8).reshape(-1, mixing.LAYERS, 8).copy()
+    layers[:, 1:] -= layers[:, :1]
+    planes = np.concatenate([steps, layers.reshape(len(grams), -1)], axis=1)
+    return zstandard.ZstdCompressor(level=1).compress(planes.T.tobytes())
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The windows and margins that ``_packed`` was given."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8 * (1 + mixing.LAYERS), -1)
+    steps = planes[:8].T.copy().view(np.uint64).ravel()
+    layers = planes[8:].T.copy().reshape(-1, mixing.LAYERS, 8)
+    layers[:, 1:] += layers[:, :1]
+    return np.cumsum(steps).view(np.int64), layers.view(np.int8)
+
+
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows and margins put together by part, in few rows: columns of longs, compressed."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    """Windows and margins put together by part, in few rows."""
     held, size = [], 0
 
     def rows() -> pa.RecordBatch:
-        part, *longs = (np.concatenate(v) for v in zip(*held, strict=True))
-        order = np.argsort(part, kind="stable")
-        part, longs = part[order], np.stack(longs, axis=1)[order]
+        part, grams, *layers = (np.concatenate(v) for v in zip(*held, strict=True))
+        order = np.lexsort((grams.view(np.uint64), part))
+        part, grams, layers = part[order], grams[order], np.stack(layers, axis=1)[order]
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-        raw = [pack(longs[a:b].T.tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        raw = [_packed(grams[a:b], layers[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(raw, pa.binary())], ["part", "told"])
 
     for batch in batches:
@@ -287,7 +308,6 @@ def _scored(head, ends: int) -> Callable:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
         part, held, index, margins = None, [], None, None
         for batch in batches:
             parts, kinds = batch["part"].to_numpy(), batch["kind"].to_numpy()
@@ -297,14 +317,11 @@ def _scored(head, ends: int) -> Callable:
                 if parts[a] != part:
                     part, held, index, margins = parts[a], [], None, None
                 if kinds[a] == 0:
-                    for raw in piece["told"].to_pylist():
-                        columns = np.frombuffer(unpack(raw), np.int64).reshape(1 + mixing.LAYERS, -1)
-                        held.append(columns.T)
+                    held.extend(_unpacked(raw) for raw in piece["told"].to_pylist())
                     continue
                 if index is None:
-                    longs = np.concatenate(held)
-                    index, held = pd.Index(longs[:, 0].copy()), []
-                    margins = np.ascontiguousarray(longs[:, 1:]).view(np.int8).reshape(-1, mixing.LAYERS, 8)
+                    grams, margins = (np.concatenate(v) for v in zip(*held, strict=True))
+                    index, held = pd.Index(grams), []
                 for texts in _chunks(iter([piece]), CHUNK):
                     grams, sizes = mixing.windows(_raw(texts["text"]))
                     codes = index.get_indexer(grams.view(np.int64))

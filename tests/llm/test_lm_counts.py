@@ -6,10 +6,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import context_mixing as mixing
+from ledgerline.llm import lm_scoring
 from ledgerline.llm.lm_scoring import LAYERS, learn_model, score
 
 LONG = max(mixing.ORDERS)
@@ -145,3 +147,30 @@ def test_learning_helps_on_unseen_texts(spark):
     table = np.stack([there[g] for g in odd])
     moved, fixed = (mixing.mixed_online(table, np.arange(2000), np.array([2000]), r)[0] for r in (mixing.RATE, 0))
     assert moved > fixed
+
+
+def test_margins_are_dealt_small_and_whole():
+    """Windows in any order, of two parts, with layers that differ by little, as they do."""
+    rng, n = np.random.default_rng(1), 40_000
+    grams = np.unique(rng.integers(0, 2**47, n))
+    first = np.clip(np.rint(rng.laplace(60, 40, (len(grams), 1, 8))), -127, 127)
+    near = np.rint(rng.laplace(0, 2, (len(grams), mixing.LAYERS - 1, 8)))
+    margins = np.clip(np.concatenate([first, first + near], axis=1), -127, 127).astype(np.int8)
+    part, order = rng.integers(0, 2, len(grams)), rng.permutation(len(grams))
+    longs = margins.reshape(len(grams), -1).view(np.int64)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c[order]) for c in (part, grams, *longs.T)], ["part", "gram", *LAYERS]
+    )
+    rows = [r for b in lm_scoring._dealt(iter([batch])) for r in b.to_pylist()]
+    assert sum(len(r["told"]) for r in rows) < 0.75 * 32 * len(grams)
+    for k in (0, 1):
+        got = [lm_scoring._unpacked(r["told"]) for r in rows if r["part"] == k]
+        assert np.array_equal(np.concatenate([g for g, _ in got]), grams[part == k])
+        assert np.array_equal(np.concatenate([m for _, m in got]), margins[part == k])
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_few_margins_are_packed(n):
+    grams, margins = np.array([5, 2**47])[:n], np.full((n, mixing.LAYERS, 8), -127, np.int8)
+    got = lm_scoring._unpacked(lm_scoring._packed(grams, margins))
+    assert np.array_equal(got[0], grams) and np.array_equal(got[1], margins)
