@@ -79,21 +79,36 @@ def near_counts(pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
 def counts_of(grams: np.ndarray, n: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones seen after each context and the bits so far: [windows, orders, 8].
 
-    ``grams`` are all windows of a block, each once, with their counts. A context and
-    the bits so far are one hash of 64 bits; there are as many slots as hashes occur.
+    ``grams`` are all windows of a block, each once, with their counts. In the order of
+    context and byte, windows that share a context and the bits so far stand together.
     """
     seen = np.empty((2, len(grams), len(ORDERS), 8), np.float32)
-    symbol, bits = grams & np.uint64(0xFF), bits_of(grams)
+    if not len(grams):
+        return seen[0], seen[1]
+    symbol = grams & np.uint64(0xFF)
     for o, order in enumerate(ORDERS):
-        context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * order)) - 1)
+        if order == 1:
+            context = (grams >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64)
+            for bit in range(8):
+                node = (symbol | np.uint64(0x100)) >> np.uint64(8 - bit)
+                seen[:, :, o, bit] = near[:, context, node.astype(np.int64)]
+            continue
+        key = grams & np.uint64((1 << (8 * (order + 1))) - 1)
+        place = np.argsort(key)
+        new = np.diff(key[place], prepend=~key[place[0]]) != 0
+        key, each = key[place[new]], np.add.reduceat(n[place].astype(float), np.flatnonzero(new))
+        held = np.empty((2, 8, len(key)), np.float32)
         for bit in range(8):
-            node = (symbol | np.uint64(0x100)) >> np.uint64(8 - bit)
-            if order == 1:
-                seen[:, :, o, bit] = near[:, context.astype(np.int64), node.astype(np.int64)]
-                continue
-            slot, _ = pd.factorize(_mixed((context << np.uint64(8) | node) * _MIX + np.uint64(order)))
-            for value in (0, 1):
-                seen[value, :, o, bit] = np.bincount(slot, n * (bits[:, bit] == value))[slot]
+            node = key >> np.uint64(8 - bit)
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            size = np.diff(np.append(first, len(node)))
+            one = np.add.reduceat(each * (key >> np.uint64(7 - bit) & np.uint64(1)), first)
+            held[1, bit] = np.repeat(one, size)
+            held[0, bit] = np.repeat(np.add.reduceat(each, first) - one, size)
+        index = np.empty(len(grams), np.int64)
+        index[place] = np.cumsum(new) - 1
+        for value in (0, 1):
+            seen[value, :, o] = np.ascontiguousarray(held[value].T).take(index, axis=0)
     return seen[0], seen[1]
 
 
@@ -107,13 +122,15 @@ def without_itself(grams: np.ndarray, n: np.ndarray, zeros: np.ndarray, ones: np
 def inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Mixer inputs [windows, 8, INPUTS] and the gates of both mixers [windows, 8]."""
     total = zeros + ones
-    stretch = np.log((ones + 0.02) / (zeros + 0.02)).transpose(0, 2, 1)
-    sure = np.minimum(np.log1p(total), 8).transpose(0, 2, 1) / 4
-    x = np.concatenate([stretch, stretch * sure, np.ones((*stretch.shape[:2], 1))], axis=2)
+    stretch = np.log((ones + 0.02) / (zeros + 0.02))
+    sure = np.minimum(np.log(total + 1), 8) / 4
+    x = np.ones((len(total), 8, INPUTS), np.float32)
+    x[..., : len(ORDERS)] = stretch.transpose(0, 2, 1)
+    x[..., len(ORDERS) : -1] = np.multiply(stretch, sure, out=sure).transpose(0, 2, 1)
     known = (total > 0).sum(1)  # a longer order implies the shorter ones
     last = np.take_along_axis(total, np.maximum(known - 1, 0)[:, None, :], 1)[:, 0]
     level = np.minimum(np.log2(1 + last), LEVELS - 1).astype(np.int64)
-    return x.astype(np.float32), [known * 8 + np.arange(8), level * 8 + np.arange(8)]
+    return x, [known * 8 + np.arange(8), level * 8 + np.arange(8)]
 
 
 def start() -> list[np.ndarray]:
@@ -194,9 +211,9 @@ def mixed_online(margins: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rate
     is predicted from the bytes before it only.
     """
     none = len(margins)
-    layers = [np.zeros((none + 1, 8), np.float32) for _ in range(LAYERS)]
-    for i, layer in enumerate(layers):
-        layer[:none] = margins[:, i] * np.float32(REACH / MARGIN_STEPS)
+    # the eight bits of a layer as one long, with one more window of no margins
+    layers = [np.append(np.ascontiguousarray(margins[:, i]).view(np.int64).ravel(), 0) for i in range(LAYERS)]
+    unit = np.float32(REACH / MARGIN_STEPS)
     starts, out = np.cumsum(sizes) - sizes, np.empty(len(sizes))
     order = np.argsort(-sizes, kind="stable")
     for a in range(0, len(order), LANES):
@@ -214,19 +231,21 @@ def mixed_online(margins: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rate
         weights = np.full((LAYERS, len(lanes), 8), 1 / LAYERS, np.float32)
         cost = np.zeros(len(lanes))
         for first, m in zip(offset, active, strict=True):
-            z = [layer.take(padded[first : first + m], axis=0) for layer in layers]
-            s = z[0] * weights[0, :m, None]
+            # bytes first, so that what is done to all texts at once lies together
+            at = padded[first : first + m].T
+            z = [layer.take(at).view(np.int8).reshape(STEP, m, 8) * unit for layer in layers]
+            s = z[0] * weights[0, :m]
             for i in range(1, LAYERS):
-                s += z[i] * weights[i, :m, None]
+                s += z[i] * weights[i, :m]
             np.clip(s, -REACH, REACH, out=s)
             odds = np.exp(np.negative(s, out=s), out=s)
             whole = 1 + odds
             # the logarithm of a product of four, which stays within 32 bits
-            four = whole[..., :4] * whole[..., 4:]
-            four = four[..., :2] * four[..., 2:]
-            cost[:m] += np.log(four).sum((1, 2), dtype=np.float64)
+            four = whole[: STEP // 2] * whole[STEP // 2 :]
+            four = four[: STEP // 4] * four[STEP // 4 :]
+            cost[:m] += np.log(four).sum(0, dtype=np.float64).sum(1)
             missed = np.divide(odds, whole, out=odds)
             for i in range(LAYERS):
-                weights[i, :m] += rate * np.einsum("mkb,mkb->mb", missed, z[i])
+                weights[i, :m] += rate * np.multiply(missed, z[i], out=z[i]).sum(0)
         out[lanes] = -(cost - (steps * STEP - size) * 8 * np.log(2)) / np.log(10)
     return out

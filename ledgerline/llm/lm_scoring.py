@@ -7,15 +7,15 @@ adaptive map refines the first. A last mixer adds up these three with weights th
 along each text (``context_mixing``).
 
 1. The texts are cut into parts as they are read; a part is stored with its different
-   windows of bytes and their counts in the texts to learn from.
-2. The counts of a window are summed up over all parts. Windows are dealt to blocks by
-   their last two context bytes; there are as many blocks as the windows need, and in a
-   block as many slots as its contexts. Nothing is dropped, capped or sampled.
+   windows of bytes and their counts in the texts to learn from, compressed, in a row
+   for each pair of last two context bytes.
+2. The counts of a window are summed up over all parts, pair by pair. Pairs are dealt to
+   blocks, as many as the windows need. Nothing is dropped, capped or sampled.
 3. Each block learns weights online from its windows, each predicted from the counts
    without itself. The means of the blocks, by what their gates saw, are the weights.
    A second look at the windows gives the adaptive map.
-4. A block works out what the mixers say of each of its windows. This is joined with the
-   windows of the parts, and each part is scored where its windows and texts meet.
+4. A block works out what the mixers say of each of its windows, and deals that out to the
+   parts that have them. Each part is scored where its windows and texts meet.
 
 Only the weights, the map and the counts after one byte of context are on the driver;
 their sizes are fixed. Beside the model's score there is the base score of a unigram
@@ -25,18 +25,20 @@ model over tokens.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import context_mixing as mixing
-from ledgerline.llm.common import drop, remainder, run, stored
+from ledgerline.llm.common import release, remainder, run, stored
 from ledgerline.sources import read_table
 
 FOLDS, HELD_OUT = 7, 2
@@ -48,6 +50,9 @@ PART, CHUNK = 16_000_000, 4_000_000
 DEALT = 500_000
 #: The columns of the margins.
 LAYERS = [f"layer{i}" for i in range(mixing.LAYERS)]
+#: The windows of a pair in a row: the pair (their last two context bytes), how many, and these; and how many at most.
+PRESSED, _PRESSED = ["pair", "many", "windows"], "pair bigint, many bigint, windows binary"
+MOST_PRESSED = 1_000_000
 #: Different windows of a block, about, and the number of blocks that there can be.
 BLOCK_WINDOWS, MOST_BLOCKS = 50_000, 65_536
 
@@ -70,51 +75,123 @@ def _raw(texts: pa.Array) -> list[bytes]:
     return pc.fill_null(texts, "").cast(pa.binary()).to_pylist()
 
 
+def _pressed(grams: np.ndarray, n: np.ndarray) -> bytes:
+    """Windows of one pair, in order, and their counts, compressed: all first bytes, all second ones, and so on.
+
+    Of a window there are the four bytes that the pair does not tell, as the step from the one before.
+    """
+    rest = (grams >> np.uint64(24) << np.uint64(8) | grams & np.uint64(0xFF)).astype(np.uint32)
+    planes = np.empty((12, len(grams)), np.uint8)
+    planes[:4] = np.diff(rest, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T
+    planes[4:] = n.astype(np.int64).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpressed(pair: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The windows and counts that ``_pressed`` was given."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(12, -1)
+    rest = np.cumsum(planes[:4].T.copy().view(np.uint32).ravel(), dtype=np.uint32).astype(np.uint64)
+    grams = rest >> np.uint64(8) << np.uint64(24) | np.uint64(pair << 8) | rest & np.uint64(0xFF)
+    return grams, planes[4:].T.copy().view(np.int64).ravel()
+
+
+def _pair_rows(grams: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """pair, number of windows, and these compressed, of different windows in order, with their counts.
+
+    The windows after the same two bytes are a pair's; MOST_PRESSED at most are in one row.
+    """
+    pair = (grams >> np.uint64(8)).astype(np.uint16)
+    order = np.argsort(pair, kind="stable")
+    pair, grams, n = pair[order], grams[order], n[order]
+    edges = np.flatnonzero(np.diff(pair.astype(np.int64), prepend=-1, append=-1)).tolist()
+    cuts = [(a, min(a + MOST_PRESSED, e)) for s, e in zip(edges[:-1], edges[1:], strict=True) for a in range(s, e, MOST_PRESSED)]
+    return [(int(pair[a]), b - a, _pressed(grams[a:b], n[a:b])) for a, b in cuts]
+
+
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different windows in order, and the sums of their counts."""
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    edges = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    return grams[edges], np.add.reduceat(n, edges)
+
+
+def _boxed(texts: pa.RecordBatch) -> bytes:
+    """The rows, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(texts)
+    return sink.getvalue().to_pybytes()
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts with the part and row that they got, and the windows of each part."""
+    """The texts with the row that they got, some in a row of their part, and the windows of the part by pair."""
     part = row = TaskContext.get().partitionId() << 36
-    names = ["part", "row", "doc_id", "held_out", "text", "gram", "n"]
     for batch in _chunks(batches, PART):
-        found = []
+        found, boxes = [], []
         for texts in _chunks(iter([batch]), CHUNK):
             grams, sizes = mixing.windows(_raw(texts["text"]))
             code, different = pd.factorize(grams)
             learned = np.repeat(texts["learn"].to_numpy(zero_copy_only=False), sizes)
-            found.append((different, np.bincount(code, learned, len(different))))
+            found.append((different, np.bincount(code, learned, len(different)).astype(np.int64)))
             del grams, code, learned
-        grams, n = (np.concatenate(v) for v in zip(*found, strict=True))
-        different, code = np.unique(grams, return_inverse=True)
-        n = np.bincount(code, n, len(different)).astype(np.int64)
-        rows, many = batch.num_rows, len(different)
-        none = lambda kind, k=many: pa.nulls(k, kind)
+            numbered = [pa.array(np.arange(row, row + texts.num_rows)), texts["doc_id"], texts["held_out"], pc.fill_null(texts["text"], "")]
+            boxes.append(_boxed(pa.RecordBatch.from_arrays(numbered, ["row", "doc_id", "held_out", "text"])))
+            row += texts.num_rows
+        pairs, many, raw = zip(*_pair_rows(*_summed(*(np.concatenate(v) for v in zip(*found, strict=True)))), strict=True)
+        none, rows = [None] * len(boxes), len(boxes) + len(pairs)
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        columns = (boxes + [None] * len(pairs), *(none + list(c) for c in (pairs, many, raw)))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(rows, part)), pa.array(np.arange(row, row + rows)), batch["doc_id"],
-             batch["held_out"], pc.fill_null(batch["text"], ""), none(pa.int64(), rows), none(pa.int64(), rows)],
-            names,
+            [pa.array(np.full(rows, part)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+            ["part", "texts", *PRESSED],
         )
+        part += 1
+
+
+def _rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, int | None, np.ndarray, np.ndarray]]:
+    """key, part, windows and counts of each row."""
+    for batch in batches:
+        columns = (batch[c].to_pylist() for c in (key, "part", "pair", "windows"))
+        for k, part, pair, raw in zip(*columns, strict=True):
+            yield k, part, *_unpressed(pair, raw)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each pair once, with the sums of their counts, from rows sorted by pair."""
+    for _, rows in groupby(_rows(batches, "pair"), itemgetter(0)):
+        grams, n = (np.concatenate(v) for v in list(zip(*rows, strict=True))[2:])
+        pairs, many, raw = zip(*_pair_rows(*_summed(grams, n)), strict=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(many, part)), none(pa.int64()), none(pa.int64()), none(pa.bool_()),
-             none(pa.string()), pa.array(different.view(np.int64)), pa.array(n)],
-            names,
+            [pa.array(pairs, pa.int64()), pa.array(many, pa.int64()), pa.array(raw, pa.binary())], PRESSED
         )
-        part, row = part + 1, row + rows
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that come one in a row, by pair."""
+    for batch in batches:
+        if batch.num_rows:
+            made = _pair_rows(*_summed(batch["gram"].to_numpy().view(np.uint64), batch["n"].to_numpy()))
+            pairs, many, raw = zip(*made, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs, pa.int64()), pa.array(many, pa.int64()), pa.array(raw, pa.binary())], PRESSED
+            )
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often a byte came after a byte: 65,536 rows at most."""
+    counts = np.zeros(65_536, np.int64)
+    for _, _, grams, n in _rows(batches, "pair"):
+        # whole numbers, exact as doubles
+        counts += np.bincount((grams & np.uint64(0xFFFF)).astype(np.int64), n, 65_536).astype(np.int64)
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["pair", "n"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The windows of each block and their counts, from rows sorted by block."""
-    held, last = [], None
-    for batch in batches:
-        block = batch["block"].to_numpy()
-        grams, n = batch["gram"].to_numpy().view(np.uint64), batch["n"].to_numpy()
-        edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if held and block[a] != last:
-                yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
-                held = []
-            held.append((grams[a:b], n[a:b]))
-            last = block[a]
-    if held:
-        yield tuple(np.concatenate(v) for v in zip(*held, strict=True))
+    for _, rows in groupby(_rows(batches, "block"), itemgetter(0)):
+        yield tuple(np.concatenate(v) for v in list(zip(*rows, strict=True))[2:])
 
 
 def _seen(near, batches: Iterator[pa.RecordBatch]):
@@ -166,18 +243,34 @@ def _mapped(near, weights) -> Callable:
 
 
 def _told(near, model) -> Callable:
-    """The margins of each window, a long for each layer."""
+    """part, window and its margins, a long for each layer, of the rows with a part.
+
+    Rows come sorted by block, those without a part, which have all windows, first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grams, n in _blocks(batches):
-            zeros, ones = mixing.counts_of(grams, n, near.value)
-            for a in range(0, len(grams), 20_000):
-                part = slice(a, a + 20_000)
-                margins = mixing.rounded(model.value.margins(grams[part], zeros[part], ones[part]))
-                layers = margins.view(np.int64)[:, :, 0]
+        for _, rows in groupby(_rows(batches, "block"), itemgetter(0)):
+            held, every, layers = [], None, None
+            for _, part, grams, n in rows:
+                if part is None:
+                    held.append((grams, n))
+                    continue
+                if every is None:
+                    every, n = (np.concatenate(v) for v in zip(*held, strict=True))
+                    order = np.argsort(every)
+                    every, held = every[order], []
+                    zeros, ones = mixing.counts_of(every, n[order], near.value)
+                    layers = np.empty((len(every), mixing.LAYERS), np.int64)
+                    for a in range(0, len(every), 20_000):
+                        some = slice(a, a + 20_000)
+                        margins = model.value.margins(every[some], zeros[some], ones[some])
+                        layers[some] = mixing.rounded(margins).view(np.int64)[:, :, 0]
+                    del zeros, ones
+                found = layers[np.searchsorted(every, grams)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[part].view(np.int64)), *(pa.array(layers[:, i]) for i in range(mixing.LAYERS))],
-                    ["gram", *LAYERS],
+                    [pa.array(np.full(len(grams), part)), pa.array(grams.view(np.int64)),
+                     *(pa.array(found[:, i]) for i in range(mixing.LAYERS))],
+                    ["part", "gram", *LAYERS],
                 )
 
     return run
@@ -193,24 +286,30 @@ def cut(documents: DataFrame, learn: Column) -> DataFrame:
     )
     return stored(
         ready.mapInArrow(
-            _cut, "part bigint, row bigint, doc_id bigint, held_out boolean, text string, gram bigint, n bigint"
+            _cut, f"part bigint, texts binary, {_PRESSED}"
         ),
         "lm-parts",
     )
 
 
-def learn_model(spark: SparkSession, windows: DataFrame) -> tuple[mixing.Model, DataFrame]:
-    """The model of the counted ``windows`` (gram, n), and gram and margins of each."""
-    pair = F.col("gram").bitwiseAND(0xFFFF).cast("int")
+def merged(rows: DataFrame) -> DataFrame:
+    """The windows of all ``rows`` (pair, many, windows) once, with the sums of their counts."""
+    dealt = rows.select(F.lit(None).cast("bigint").alias("part"), "pair", "windows").repartition("pair")
+    return stored(dealt.sortWithinPartitions("pair").mapInArrow(_merged, _PRESSED), "lm-windows")
+
+
+def fitted(spark: SparkSession, windows: DataFrame) -> tuple[Broadcast, Broadcast, Column]:
+    """Counts after one byte, the model, and the block of a row, of ``windows`` as ``merged`` gives them."""
+    every = windows.withColumn("part", F.lit(None).cast("bigint"))
     # 65,536 rows at most
-    first = windows.groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).collect()
+    first = every.mapInArrow(_near, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     near = spark.sparkContext.broadcast(
         mixing.near_counts(np.array([r.pair for r in first], np.int64), np.array([r.n for r in first], float))
     )
-    many = min(max(windows.count() // BLOCK_WINDOWS, 1), MOST_BLOCKS)
-    block = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(0xFFFF)), F.lit(many)).cast("int")
-    dealt = windows.select(block.alias("block"), "gram", "n").repartition("block")
-    dealt = dealt.sortWithinPartitions("block", "gram")
+    different = windows.agg(F.coalesce(F.sum("many"), F.lit(0))).first()[0]
+    many = min(max(different // BLOCK_WINDOWS, 1), MOST_BLOCKS)
+    block = F.pmod(F.xxhash64("pair"), F.lit(many)).cast("int").alias("block")
+    dealt = every.select(block, "part", "pair", "windows").repartition("block").sortWithinPartitions("block")
     schema = "kind bigint, gate bigint, i bigint, value double, seen double"
 
     def summed(function: Callable) -> list:
@@ -227,12 +326,27 @@ def learn_model(spark: SparkSession, windows: DataFrame) -> tuple[mixing.Model,
     refined = mixing.map_start()
     for r in summed(_mapped(near, shared)):
         refined[r.gate, r.i] += r.seen / (r.seen + 50) * (r.value / r.seen - refined[r.gate, r.i])
-    model = mixing.Model(weights, refined)
-    told = dealt.mapInArrow(_told(near, spark.sparkContext.broadcast(model)), "gram bigint, " + ", ".join(f"{c} bigint" for c in LAYERS))
-    made = stored(told, "lm-margins")
-    for value in (near, begin, shared):
+    for value in (begin, shared):
         value.unpersist()
-    return model, made
+    return near, spark.sparkContext.broadcast(mixing.Model(weights, refined)), block
+
+
+def told(windows: DataFrame, rows: DataFrame, block: Column) -> DataFrame:
+    """``rows`` (part, pair, windows) and all ``windows`` by block, for ``_told``."""
+    every = windows.select(block, F.lit(None).cast("bigint").alias("part"), "pair", "windows")
+    together = every.union(rows.select(block, "part", "pair", "windows")).repartition("block")
+    return together.sortWithinPartitions("block", F.col("part").asc_nulls_first())
+
+
+def learn_model(spark: SparkSession, windows: DataFrame) -> tuple[mixing.Model, DataFrame]:
+    """The model of the counted ``windows`` (gram, n), and gram and margins of each."""
+    every = merged(windows.select("gram", "n").mapInArrow(_grouped, _PRESSED))
+    near, model, block = fitted(spark, every)
+    columns = ["part", "gram", *LAYERS]
+    made = told(every, every.withColumn("part", F.lit(0).cast("bigint")), block).mapInArrow(
+        _told(near, model), ", ".join(f"{c} bigint" for c in columns)
+    )
+    return model.value, stored(made.drop("part"), "lm-margins")
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
@@ -261,22 +375,44 @@ def _packed(grams: np.ndarray, margins: np.ndarray) -> bytes:
     """Different windows in order and their margins, compressed: all first bytes, all second ones, and so on.
 
     Of a window there is the step from the one before, and of the layers after the first
-    what they differ from it by, modulo 256: both are mostly small.
+    what they differ from it by, modulo 256: both are mostly small. The odds of a one are
+    the same for windows that share the context and the bits so far: of these there is
+    what they differ from the window before by, mostly nothing.
     """
-    steps = np.diff(grams.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-    layers = margins.view(np.uint8).reshape(-1, mixing.LAYERS, 8).copy()
-    layers[:, 1:] -= layers[:, :1]
-    planes = np.concatenate([steps, layers.reshape(len(grams), -1)], axis=1)
-    return zstandard.ZstdCompressor(level=1).compress(planes.T.tobytes())
+    grams = grams.view(np.uint64)
+    zero = mixing.bits_of(grams).T == 0
+    planes = np.empty((8 * (1 + mixing.LAYERS), len(grams)), np.uint8)
+    planes[:8] = np.diff(grams, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    layers = margins.view(np.uint8).reshape(-1, mixing.LAYERS, 8).transpose(1, 2, 0).copy()
+    layers[1:] -= layers[:1]
+    np.negative(layers, out=layers, where=zero)
+    for bit in range(8):
+        node = grams >> np.uint64(8 - bit)
+        for layer, plane in zip(layers[:, bit], planes[8 + bit :: 8], strict=True):
+            plane[:1] = layer[:1]
+            plane[1:] = layer[1:] - layer[:-1] * (node[1:] == node[:-1])
+    margins = planes[8:].reshape(layers.shape)
+    np.negative(margins, out=margins, where=zero)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The windows and margins that ``_packed`` was given."""
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8 * (1 + mixing.LAYERS), -1)
-    steps = planes[:8].T.copy().view(np.uint64).ravel()
-    layers = planes[8:].T.copy().reshape(-1, mixing.LAYERS, 8)
-    layers[:, 1:] += layers[:, :1]
-    return np.cumsum(steps).view(np.int64), layers.view(np.int8)
+    grams = np.cumsum(planes[:8].T.copy().view(np.uint64).ravel())
+    zero = mixing.bits_of(grams).T == 0
+    layers = planes[8:].reshape(mixing.LAYERS, 8, -1).copy()
+    np.negative(layers, out=layers, where=zero)
+    for bit in range(8):
+        node = grams >> np.uint64(8 - bit)
+        first = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+        size = np.diff(np.append(first, len(node)))
+        for layer in layers[:, bit]:
+            running = np.cumsum(layer, dtype=np.uint8)
+            layer[:] = running - np.repeat(running[first] - layer[first], size)
+    np.negative(layers, out=layers, where=zero)
+    layers[1:] += layers[:1]
+    return grams.view(np.int64), layers.transpose(2, 0, 1).copy().view(np.int8)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +458,8 @@ def _scored(head, ends: int) -> Callable:
                 if index is None:
                     grams, margins = (np.concatenate(v) for v in zip(*held, strict=True))
                     index, held = pd.Index(grams), []
-                for texts in _chunks(iter([piece]), CHUNK):
+                for raw in piece["texts"]:
+                    texts = pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
                     grams, sizes = mixing.windows(_raw(texts["text"]))
                     codes = index.get_indexer(grams.view(np.int64))
                     yield _row(texts, mixing.mixed_online(margins, codes, sizes), head.value, ends)
@@ -387,21 +524,18 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     head = {r.word: r.c for r in counts.filter(F.col("c") >= least).collect()}
 
     parts = cut(documents, learn)
-    windows = parts.filter(F.col("gram").isNotNull())
-    different = stored(windows.groupBy("gram").agg(F.sum("n").alias("n")), "lm-windows")
-    _, margins = learn_model(spark, different)
-    drop(different)  # and the shuffles so far, which nothing reads again
-    texts = parts.filter(F.col("gram").isNull()).select(
-        "part", F.lit(1).alias("kind"), "row", "doc_id", "held_out", "text"
-    )
-    told = (
-        windows.select("part", "gram")
-        .join(margins, "gram")
-        .select("part", "gram", *LAYERS)
-        .mapInArrow(_dealt, "part bigint, told binary")
+    windows = parts.filter(F.col("pair").isNotNull())
+    different = merged(windows)
+    near, model, block = fitted(spark, different)
+    release(spark)  # the shuffles so far, which nothing reads again
+    texts = parts.filter(F.col("pair").isNull()).select("part", F.lit(1).alias("kind"), "texts")
+    margins = _told(near, model)
+    given = (
+        told(different, windows, block)
+        .mapInArrow(lambda batches: _dealt(margins(batches)), "part bigint, told binary")
         .withColumn("kind", F.lit(0))
     )
-    together = texts.unionByName(told, allowMissingColumns=True).repartition("part")
+    together = texts.unionByName(given, allowMissingColumns=True).repartition("part")
     made = stored(
         together.sortWithinPartitions("part", "kind").mapInArrow(
             _scored(spark.sparkContext.broadcast(head), ends),

@@ -174,3 +174,68 @@ def test_few_margins_are_packed(n):
     grams, margins = np.array([5, 2**47])[:n], np.full((n, mixing.LAYERS, 8), -127, np.int8)
     got = lm_scoring._unpacked(lm_scoring._packed(grams, margins))
     assert np.array_equal(got[0], grams) and np.array_equal(got[1], margins)
+
+
+def test_windows_go_by_pair_and_not_row_by_row(spark, monkeypatch):
+    """Nothing that is stored on the way has a row for each window, and no margins are stored."""
+    kept, keep = {}, lm_scoring.stored
+    monkeypatch.setattr(lm_scoring, "stored", lambda frame, name: kept.setdefault(name, keep(frame, name)))
+    sizes, release = {}, lm_scoring.release
+
+    def spy(session):
+        sizes.update({name: frame.count() for name, frame in kept.items()})
+        release(session)
+
+    monkeypatch.setattr(lm_scoring, "release", spy)
+    texts = [made("abcdefghij", 3000, k).replace(" ", "") for k in range(4)]
+    different = {w for t in texts for w in cuts(t)}
+    assert len(told(spark, texts, range(3))) == 4
+    assert sizes["lm-parts"] < 0.1 * len(different) and sizes["lm-windows"] < 0.1 * len(different)
+    assert "lm-margins" not in kept
+
+
+@pytest.mark.parametrize("most", [10, 10**6])
+def test_windows_of_a_pair_come_back(monkeypatch, most):
+    """Windows and counts of any size, a byte of 255 in the text, and rows of few windows."""
+    monkeypatch.setattr(lm_scoring, "MOST_PRESSED", most)
+    rng = np.random.default_rng(2)
+    grams = np.unique(np.append(mixing.windows([bytes([255, 0, 255]) * 30, b"abcab" * 9])[0], rng.integers(0, 2**48, 500).astype(np.uint64)))
+    n = rng.integers(0, 2**40, len(grams))
+    rows = lm_scoring._pair_rows(grams, n)
+    assert all(many <= most for _, many, _ in rows) and sum(many for _, many, _ in rows) == len(grams)
+    back = [lm_scoring._unpressed(pair, raw) for pair, _, raw in rows]
+    got, counts = (np.concatenate(v) for v in zip(*back))
+    order = np.argsort(got)
+    assert np.array_equal(got[order], grams) and np.array_equal(counts[order], n)
+
+
+def test_windows_that_share_a_context_are_packed_small():
+    """The odds of a bit are the same after the same context and bits; what differs comes back too."""
+    rng = np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, 2**30, 4000).astype(np.uint64) << np.uint64(8) | np.uint64(97))
+    grams = np.concatenate([grams, grams + np.uint64(1), grams + np.uint64(2)])
+    grams.sort()
+    odds, margins = {}, np.empty((len(grams), mixing.LAYERS, 8), np.int8)
+    for i, (g, bits) in enumerate(zip(grams.tolist(), mixing.bits_of(grams))):
+        for bit in range(8):
+            node = (g >> (8 - bit), bit)
+            if node not in odds:
+                odds[node] = rng.integers(-127, 128, mixing.LAYERS)
+            margins[i, :, bit] = odds[node] if bits[bit] else -odds[node]
+    margins[7] = rng.integers(-127, 128, (mixing.LAYERS, 8))
+    raw = lm_scoring._packed(grams.view(np.int64), margins.view(np.int64)[:, :, 0])
+    got = lm_scoring._unpacked(raw)
+    assert np.array_equal(got[0], grams.view(np.int64)) and np.array_equal(got[1], margins)
+    assert len(raw) < 0.6 * 24 * len(grams)
+
+
+def test_counts_of_a_block_by_brute_force():
+    texts = [made("abé\x00ÿ", 300, k) for k in range(3)]
+    grams, n = np.unique(mixing.windows([t.encode() for t in texts])[0], return_counts=True)
+    counts = brute_counts(texts)
+    pairs = (grams & np.uint64(0xFFFF)).astype(np.int64)
+    zeros, ones = mixing.counts_of(grams, n, mixing.near_counts(pairs, n.astype(float)))
+    for i in range(0, len(grams), 7):
+        w = int(grams[i]).to_bytes(8, "big")[2:]
+        wanted = [[counts[(*place[:3], v)] for v in (0, 1)] for place in places(w)]
+        assert np.array_equal(np.stack([zeros[i].ravel(), ones[i].ravel()], 1), np.array(wanted, float))
