@@ -31,7 +31,8 @@ MARGIN_STEPS = 127
 STEP, RATE = 32, 0.005
 #: Texts that are mixed side by side.
 LANES = 256
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: How sure a count makes, up to where it makes no difference any more.
+_SURE = np.minimum(np.log1p(np.arange(2**12, dtype=np.float32)), 8) / 4
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -123,14 +124,14 @@ def inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, list[np.nda
     """Mixer inputs [windows, 8, INPUTS] and the gates of both mixers [windows, 8]."""
     total = zeros + ones
     stretch = np.log((ones + 0.02) / (zeros + 0.02))
-    sure = np.minimum(np.log(total + 1), 8) / 4
-    x = np.ones((len(total), 8, INPUTS), np.float32)
-    x[..., : len(ORDERS)] = stretch.transpose(0, 2, 1)
-    x[..., len(ORDERS) : -1] = np.multiply(stretch, sure, out=sure).transpose(0, 2, 1)
+    sure = _SURE.take(np.minimum(total, len(_SURE) - 1).astype(np.int64))
+    x = np.ones((len(total), INPUTS, 8), np.float32)
+    x[:, : len(ORDERS)] = stretch
+    np.multiply(stretch, sure, out=x[:, len(ORDERS) : -1])
     known = (total > 0).sum(1)  # a longer order implies the shorter ones
     last = np.take_along_axis(total, np.maximum(known - 1, 0)[:, None, :], 1)[:, 0]
     level = np.minimum(np.log2(1 + last), LEVELS - 1).astype(np.int64)
-    return x, [known * 8 + np.arange(8), level * 8 + np.arange(8)]
+    return x.transpose(0, 2, 1), [known * 8 + np.arange(8), level * 8 + np.arange(8)]
 
 
 def start() -> list[np.ndarray]:
@@ -228,24 +229,24 @@ def mixed_online(margins: np.ndarray, codes: np.ndarray, sizes: np.ndarray, rate
         padded = np.full(active.sum() * STEP, none, np.int64)
         padded[row * STEP + place % STEP] = codes[np.repeat(starts[lanes], size) + place]
         padded = padded.reshape(-1, STEP)
-        weights = np.full((LAYERS, len(lanes), 8), 1 / LAYERS, np.float32)
+        weights = np.full((LAYERS, 8, len(lanes)), 1 / LAYERS, np.float32)
         cost = np.zeros(len(lanes))
         for first, m in zip(offset, active, strict=True):
-            # bytes first, so that what is done to all texts at once lies together
+            # bits first, then bytes, so that what is done to all texts at once lies together
             at = padded[first : first + m].T
-            z = [layer.take(at).view(np.int8).reshape(STEP, m, 8) * unit for layer in layers]
-            s = z[0] * weights[0, :m]
+            z = [np.multiply(layer.take(at).view(np.int8).reshape(STEP, m, 8).transpose(2, 0, 1), unit, order="C") for layer in layers]
+            s = z[0] * weights[0, :, None, :m]
             for i in range(1, LAYERS):
-                s += z[i] * weights[i, :m]
+                s += z[i] * weights[i, :, None, :m]
             np.clip(s, -REACH, REACH, out=s)
             odds = np.exp(np.negative(s, out=s), out=s)
             whole = 1 + odds
             # the logarithm of a product of four, which stays within 32 bits
-            four = whole[: STEP // 2] * whole[STEP // 2 :]
-            four = four[: STEP // 4] * four[STEP // 4 :]
-            cost[:m] += np.log(four).sum(0, dtype=np.float64).sum(1)
+            four = whole[:4] * whole[4:]
+            four = four[:2] * four[2:]
+            cost[:m] += np.log(four).sum((0, 1), dtype=np.float64)
             missed = np.divide(odds, whole, out=odds)
             for i in range(LAYERS):
-                weights[i, :m] += rate * np.multiply(missed, z[i], out=z[i]).sum(0)
+                weights[i, :, :m] += rate * np.multiply(missed, z[i], out=z[i]).sum(1)
         out[lanes] = -(cost - (steps * STEP - size) * 8 * np.log(2)) / np.log(10)
     return out
