@@ -17,13 +17,15 @@ The join over many machines goes in these steps, none of which loses a link:
    cells of both. Groups that are empty on both sides tell nothing; a document with so
    many of them that a link could rest on them alone also goes into a cell for each of its
    first shingles, in order of their hashes (the overlap leaves no link without one).
-3. Cells are sorted by size and cut into blocks of BLOCK entries at most. Each block has an
-   R-tree. Each class tries, of the classes that pass the bound with it, the one that passes
-   it with the most others: a pair a class. The verified pairs join most of what belongs
-   together, so that of a group of near copies few pairs are left to be formed.
-4. In cells that still hold different components, the trees of a block, and of every two
-   blocks, are joined wherever their boxes allow a link, and give all pairs across
-   components that pass the bound. No task holds more than two blocks at a time.
+3. Cells are sorted by size and go into blocks of some BLOCK entries, small ones together,
+   large ones cut. Each class tries, of the classes that pass the bound with it, the one that
+   passes it with the most others (in a large cell, with the most of some JUDGES of them): a
+   pair a class. The verified pairs join most of what belongs together, so that of a group of
+   near copies few pairs are left to be formed, and no step has compared all of them.
+4. In cells that still hold different components, the R-trees of the entries of a cell in a
+   block, and in every two blocks, are joined wherever their boxes allow a link, and give all
+   pairs across components that pass the bound. The entries of the component with the most
+   of a cell meet only the others. No task holds more than two blocks at a time.
 5. These pairs are verified too. Verified pairs make the components.
 
 A pair is verified by the overlap of the whole sets. Before the sets meet, their parities
@@ -53,6 +55,12 @@ GROUPS = 256
 #: Entries of a leaf of the R-tree, and of a block of a cell.
 LEAF = 32
 BLOCK = 8192
+#: Cells of so many entries at most are worked on many at a time.
+SMALL = 64
+#: Entries of a larger cell that are asked for those that pass the bound with many, and tried of these.
+JUDGES = 64
+#: Pairs of vectors that are compared at a time.
+CHUNK = 4096
 #: Groups of the parity of a set: a power of two, from twice its size on, within these.
 LEAST_GROUPS, MOST_GROUPS = 64, 2**17
 #: Entries of a bucket of cells, about.
@@ -139,6 +147,15 @@ def _cells_of(rule: Rule, text: np.ndarray, hashes: np.ndarray, counts: np.ndarr
             yield text[early], mixed(mixed(hashes[early]) + mixed(place))
 
 
+def _kind(most: int) -> str:
+    """The kind of integers, in as few bytes as hold ``most``."""
+    return "u1" if most < 2**8 else "<u2" if most < 2**16 else "<i4"
+
+
+#: Kinds of the coordinates of a vector, by their bytes.
+_KINDS = {1: "u1", 2: "<u2", 4: "<i4"}
+
+
 def _sketch(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -147,7 +164,7 @@ def _sketch(rule: Rule):
             counts = np.bincount(text, minlength=n_rows)
             starts = np.cumsum(counts) - counts
             group = (hashes >> np.uint64(20)).astype(np.int64) % GROUPS
-            vector = np.bincount(text * GROUPS + group, minlength=n_rows * GROUPS).astype("<i4")
+            vector = np.bincount(text * GROUPS + group, minlength=n_rows * GROUPS).reshape(n_rows, GROUPS)
             sums = []
             for salt in (1, 2):
                 total = np.append(np.uint64(0), np.cumsum(mixed(hashes + np.uint64(salt))))
@@ -162,7 +179,7 @@ def _sketch(rule: Rule):
                     pa.array(counts),
                     pa.array(sums[0]),
                     pa.array(sums[1]),
-                    pa.array([v.tobytes() for v in vector.reshape(n_rows, GROUPS)], pa.binary()),
+                    pa.array([v.astype(_kind(m)).tobytes() for v, m in zip(vector, vector.max(1), strict=True)], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell[order].view(np.int64))),
                 ],
                 ["doc_id", "n", "s1", "s2", "vector", "cells"],
@@ -364,6 +381,34 @@ def crowded(each: DataFrame) -> DataFrame:
     return found.union(each.mapInArrow(_dealt(-1, known), "cell bigint, node bigint"))
 
 
+_BYTES, _SHORTS = np.uint64(0x00FF00FF00FF00FF), np.uint64(0x0000FFFF0000FFFF)
+
+
+def overlaps(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Sums of the coordinate minima of vectors that are broadcast against each other."""
+    least = np.minimum(one, other)
+    if least.dtype != np.uint8:
+        return least.sum(-1, dtype=np.int64)
+    # bytes are added up eight at a time: GROUPS / 4 of them fit into a lane of 16 bits
+    words = least.view(np.uint64)
+    total = ((words & _BYTES) + ((words >> np.uint64(8)) & _BYTES)).sum(-1)
+    total = (total & _SHORTS) + ((total >> np.uint64(16)) & _SHORTS)
+    return ((total & np.uint64(0xFFFFFFFF)) + (total >> np.uint64(32))).astype(np.int64)
+
+
+def _sizes_fit(rule: Rule, one, other):
+    return (100 * other >= rule.percent * one) & (100 * one >= rule.percent * other)
+
+
+def _passing(rule: Rule, vectors: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray):
+    """Of the pairs (i, j) of entries those that pass the bound."""
+    fits = _sizes_fit(rule, sizes[i], sizes[j])
+    i, j = i[fits], j[fits]
+    bound = [overlaps(vectors[i[a : a + CHUNK]], vectors[j[a : a + CHUNK]]) for a in range(0, len(i), CHUNK)]
+    close = np.concatenate([np.zeros(0, np.int64), *bound]) >= rule.overlap(sizes[i] + sizes[j])
+    return i[close], j[close]
+
+
 class Tree:
     """An R-tree over count vectors, packed by sorting along one axis after another."""
 
@@ -387,36 +432,145 @@ class Tree:
         for k, leaf in enumerate(self.leaves):
             fits = (100 * other.high >= rule.percent * self.low[k]) & (100 * self.high[k] >= rule.percent * other.low)
             near = np.flatnonzero(fits)
-            bound = np.minimum(other.upper[near], self.upper[k]).sum(1)
+            bound = overlaps(other.upper[near], self.upper[k])
             near = near[bound >= rule.overlap(self.low[k] + other.low[near])]
             if not len(near):
                 continue
             entries = np.concatenate([other.leaves[i] for i in near])
-            for i in leaf:
-                n, sizes = self.sizes[i], other.sizes[entries]
-                fits = (100 * sizes >= rule.percent * n) & (100 * n >= rule.percent * sizes)
-                close = entries[fits]
-                bound = np.minimum(other.vectors[close], self.vectors[i]).sum(1)
-                close = close[bound >= rule.overlap(n + other.sizes[close])]
+            own, n = self.vectors[leaf][:, None], self.sizes[leaf][:, None]
+            for a in range(0, len(entries), CHUNK // LEAF):
+                part = entries[a : a + CHUNK // LEAF]
+                sizes = other.sizes[part]
+                close = _sizes_fit(rule, n, sizes) & (overlaps(own, other.vectors[part]) >= rule.overlap(n + sizes))
                 if other is self:
-                    close = close[close > i]
-                yield np.full(len(close), i), close
+                    close &= part > leaf[:, None]
+                i, j = np.nonzero(close)
+                yield leaf[i], part[j]
+
+
+@dataclass
+class Entries:
+    """What a block holds: entries of one cell or of several, by cell."""
+
+    cells: np.ndarray
+    nodes: np.ndarray
+    labels: np.ndarray
+    sizes: np.ndarray
+    vectors: np.ndarray
+
+    @classmethod
+    def of(cls, block: dict) -> Entries:
+        cells, *rest = (np.frombuffer(block[k], np.int64) for k in ("cells", "nodes", "labels", "sizes"))
+        kind = _KINDS[len(block["vectors"]) // (len(cells) * GROUPS)]
+        return cls(cells, *rest, np.frombuffer(block["vectors"], kind).reshape(-1, GROUPS))
+
+    def __getitem__(self, which) -> Entries:
+        return Entries(*(v[which] for v in (self.cells, self.nodes, self.labels, self.sizes, self.vectors)))
+
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each cell begins, and how many entries it has."""
+        begins = np.flatnonzero(np.append(True, self.cells[1:] != self.cells[:-1]))
+        return begins, np.diff(np.append(begins, len(self.cells)))
+
+    def few(self, rule: Rule, across: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that pass the bound in cells of SMALL entries at most, many cells at once.
+
+        Such a cell is a leaf or two, of which all entries meet. With ``across`` those of
+        one label do not.
+        """
+        begins, held = self.ranges()
+        found = [np.zeros((2, 0), np.int64)]
+        for size in np.unique(held[(held > 1) & (held <= SMALL)]):
+            one, other = np.triu_indices(size, 1)
+            at = begins[held == size][:, None]
+            step = max(1, CHUNK * 16 // len(one))
+            for a in range(0, len(at), step):
+                i, j = (at[a : a + step] + one).ravel(), (at[a : a + step] + other).ravel()
+                if across:
+                    far = self.labels[i] != self.labels[j]
+                    i, j = i[far], j[far]
+                found.append(np.stack(_passing(rule, self.vectors, self.sizes, i, j)))
+        return tuple(np.concatenate(found, axis=1))
+
+    def large(self) -> Iterator[Entries]:
+        """The cells of more than SMALL entries, one at a time."""
+        for a, n in zip(*self.ranges(), strict=True):
+            if n > SMALL:
+                yield self[a : a + n]
+
+
+def _linkable(rule: Rule, one: Entries, other: Entries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Entries of a cell in two blocks, or in one, of different labels, that may be linked.
+
+    Most entries of a large cell may have one label. They are not compared with each other,
+    only with the rest.
+    """
+    same = other is one
+    labels, held = np.unique(np.concatenate([one.labels, other.labels]), return_counts=True)
+    top = labels[held.argmax()]
+    most, rest = (np.flatnonzero(x) for x in (one.labels == top, one.labels != top))
+    others = rest if same else np.flatnonzero(other.labels != top)
+    tree = lambda side, which: Tree(side.vectors[which], side.sizes[which])
+    few = tree(one, rest) if len(rest) else None
+    if same:
+        joins = [(rest, few, rest, few)]
+    else:
+        everything = np.arange(len(other.nodes))
+        joins = [(rest, few, everything, tree(other, everything) if len(rest) else None)]
+    if len(most) and len(others):
+        joins.append((most, tree(one, most), others, few if same else tree(other, others)))
+    for own, x, theirs, y in joins:
+        if x is None:
+            continue
+        for i, j in x.joined(y, rule):
+            i, j = own[i], theirs[j]
+            far = one.labels[i] != other.labels[j]
+            yield i[far], j[far]
+
+
+def _nodes(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """The pairs of nodes, each once, the lesser node first."""
+    pairs = np.unique(np.sort(np.concatenate([np.zeros((2, 0), np.int64), *pairs], axis=1), axis=0), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _open(block: dict, rule: Rule) -> pa.RecordBatch:
+    """Nodes of a block, of one cell but different components, that may be linked."""
+    entries = Entries.of(block)
+    i, j = entries.few(rule, across=True)
+    pairs = [np.stack([entries.nodes[i], entries.nodes[j]])]
+    for cell in entries.large():
+        pairs += [np.stack([cell.nodes[i], cell.nodes[j]]) for i, j in _linkable(rule, cell, cell)]
+    return _nodes(pairs)
 
 
-def _tree(block: dict) -> Tree:
-    vectors = np.frombuffer(block["vectors"], "<i4").reshape(-1, GROUPS)
-    return Tree(vectors.astype(np.int64), np.frombuffer(block["sizes"], np.int64))
+def _tried(rule: Rule, cell: Entries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of a large cell, an entry for each that it passes the bound with, and a measure of it.
 
+    JUDGES entries of all sizes tell which pass the bound with many; each entry tries the
+    JUDGES best of them in turn, so the work does not grow with the square of the cell.
+    What is not tried here is still met when ``open_pairs`` are formed.
+    """
+    n = len(cell.nodes)
+    judges = np.argsort(cell.sizes, kind="stable")[np.linspace(0, n - 1, JUDGES).astype(int)]
+
+    def close(which: np.ndarray) -> np.ndarray:
+        own, sizes = cell.vectors[which], cell.sizes[which]
+        out = np.zeros((n, len(which)), bool)
+        for a in range(0, n, CHUNK // JUDGES):
+            b = slice(a, a + CHUNK // JUDGES)
+            size = cell.sizes[b, None]
+            out[b] = _sizes_fit(rule, size, sizes) & (
+                overlaps(cell.vectors[b, None], own) >= rule.overlap(size + sizes)
+            )
+        return out
 
-def _linkable(rule: Rule, one: dict, other: dict) -> pa.RecordBatch:
-    """Nodes of two blocks, or of one, of different components, that may be linked."""
-    tree = _tree(one)
-    (a, b), (x, y) = ([np.frombuffer(side[k], np.int64) for side in (one, other)] for k in ("nodes", "labels"))
-    pairs = [np.zeros((2, 0), np.int64)]
-    for i, j in tree.joined(tree if other is one else _tree(other), rule):
-        pairs.append(np.stack([a[i], b[j]])[:, x[i] != y[j]])
-    pairs = np.concatenate(pairs, axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], ["a", "b"])
+    passed = close(judges).sum(1)
+    best = np.lexsort((cell.nodes, -passed))[:JUDGES]
+    good = close(best) & (cell.labels[:, None] != cell.labels[best])
+    i = np.flatnonzero(good.any(1))
+    j = best[good[i].argmax(1)]
+    return i, j, passed[j]
 
 
 def _best(block: dict, rule: Rule) -> pa.RecordBatch:
@@ -424,65 +578,90 @@ def _best(block: dict, rule: Rule) -> pa.RecordBatch:
 
     ``other`` is, of those entries, the one that passes it with the most.
     """
-    tree = _tree(block)
-    node, label = (np.frombuffer(block[k], np.int64) for k in ("nodes", "labels"))
-    passed = np.zeros(len(node), np.int64)
-    for i, j in tree.joined(tree, rule):
-        np.add.at(passed, np.concatenate([i, j]), 1)
-    most, other = np.full(len(node), -1), np.zeros(len(node), np.int64)
-    for i, j in tree.joined(tree, rule):
-        far = label[i] != label[j]
-        i, j = i[far], j[far]
-        if not len(i):
-            continue
-        # i is one entry; each j may find it better than what it has, and it the best j
-        better = passed[i] > most[j]
-        most[j[better]], other[j[better]] = passed[i[better]], node[i[better]]
-        top = j[passed[j].argmax()]
-        if passed[top] > most[i[0]]:
-            most[i[0]], other[i[0]] = passed[top], node[top]
-    has = most >= 0
-    return pa.RecordBatch.from_arrays([pa.array(v[has]) for v in (node, other, most)], ["node", "other", "passed"])
+    entries = Entries.of(block)
+    nodes, labels = entries.nodes, entries.labels
+    i, j = entries.few(rule, across=False)
+    passed = np.bincount(np.concatenate([i, j]), minlength=len(nodes))
+    far = labels[i] != labels[j]
+    i, j = np.concatenate([i[far], j[far]]), np.concatenate([j[far], i[far]])
+    told = [(nodes[i], nodes[j], passed[j])]
+    for cell in entries.large():
+        i, j, many = _tried(rule, cell)
+        told.append((cell.nodes[i], cell.nodes[j], many))
+    node, other, passed = (np.concatenate(x) for x in zip(*told, strict=True))
+    # the greatest of each node
+    order = np.lexsort((-other, passed, node))
+    last = order[np.append(node[order][1:] != node[order][:-1], True)[: len(order)]]
+    return pa.RecordBatch.from_arrays([pa.array(v[last]) for v in (node, other, passed)], ["node", "other", "passed"])
+
+
+def _packed(rows: pa.Table) -> bytes:
+    """The vectors of ``rows``, all of the kind of the widest."""
+    vectors = rows["vector"].to_pylist()
+    widest = max(map(len, vectors))
+    return b"".join(
+        v if len(v) == widest else np.frombuffer(v, _KINDS[len(v) // GROUPS]).astype(_KINDS[widest // GROUPS]).tobytes()
+        for v in vectors
+    )
 
 
 def _blocks(most: int):
-    """Blocks of one cell each, of ``most`` entries at most, from rows that come by cell and size."""
-
-    def made(rows: pa.Table, number: int) -> pa.RecordBatch:
-        size = rows["n"].to_numpy()
-        block = {
-            "cell": rows["cell"][0].as_py(),
-            "block": (TaskContext.get().partitionId() << 40) + number,
-            "low": int(size.min()),
-            "high": int(size.max()),
-            "nodes": rows["node"].to_numpy().tobytes(),
-            "labels": rows["label"].to_numpy().tobytes(),
-            "sizes": size.tobytes(),
-            "vectors": b"".join(rows["vector"].to_pylist()),
-        }
-        return pa.RecordBatch.from_pylist([block], schema=_BLOCK_SCHEMA)
+    """Blocks of about ``most`` entries, from rows that come by cell and size.
+
+    A block holds whole cells, and names none, or part of one, of ``most`` entries at most.
+    The first and the last cell of a task may be in other tasks too, and so count as parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, of = 0, [], None
+        number = 0
+
+        def made(rows: list[pa.RecordBatch], alone: bool) -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches(rows)
+            size = rows["n"].to_numpy()
+            block = {
+                "cell": rows["cell"][0].as_py() if alone else None,
+                "block": (TaskContext.get().partitionId() << 40) + number,
+                "low": int(size.min()),
+                "high": int(size.max()),
+                **{k: rows[c].to_numpy().tobytes() for k, c in (("cells", "cell"), ("nodes", "node"), ("labels", "label"), ("sizes", "n"))},
+                "vectors": _packed(rows),
+            }
+            number += 1
+            return pa.RecordBatch.from_pylist([block], schema=_BLOCK_SCHEMA)
+
+        count = lambda rows: sum(r.num_rows for r in rows)
+        # whole cells, and the rows of the last cell so far, which may be a part
+        whole, held, of, part = [], [], None, True
         for batch in batches:
             cell = batch["cell"].to_numpy()
             begins = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
             for a, b in zip(begins, np.append(begins[1:], len(cell)), strict=False):
+                if held and of != cell[a]:
+                    if part:
+                        yield made(held, True)
+                    else:
+                        whole += held
+                        if count(whole) >= most:
+                            yield made(whole, False)
+                            whole = []
+                    held, part = [], False
+                of = cell[a]
                 while a < b:
-                    full = sum(h.num_rows for h in held)
-                    if held and (of != cell[a] or full == most):
-                        yield made(pa.Table.from_batches(held), number)
-                        number, held, full = number + 1, [], 0
-                    of = cell[a]
+                    if (full := count(held)) == most:
+                        yield made(held, True)
+                        held, full, part = [], 0, True
                     held.append(batch.slice(a, min(b - a, most - full)))
                     a += held[-1].num_rows
+        if whole:
+            yield made(whole, False)
         if held:
-            yield made(pa.Table.from_batches(held), number)
+            yield made(held, True)
 
     return run
 
 
-_BLOCK = "cell bigint, block bigint, low bigint, high bigint, nodes binary, labels binary, sizes binary, vectors binary"
+_BLOCK = "cell bigint, block bigint, low bigint, high bigint, cells binary, nodes binary, labels binary, sizes binary, vectors binary"
 _BLOCK_SCHEMA = pa.schema(
     [(f.split()[0], pa.int64() if f.endswith("bigint") else pa.binary()) for f in _BLOCK.split(", ")]
 )
@@ -491,8 +670,8 @@ _BLOCK_SCHEMA = pa.schema(
 def _within(of: Callable[[dict], pa.RecordBatch]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield of(row)
+            for i in range(batch.num_rows):
+                yield of(batch.slice(i, 1).to_pylist()[0])
 
     return run
 
@@ -501,13 +680,14 @@ def _across(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                yield _linkable(rule, x.as_py(), y.as_py())
+                one, other = Entries.of(x.as_py()), Entries.of(y.as_py())
+                yield _nodes([np.stack([one.nodes[i], other.nodes[j]]) for i, j in _linkable(rule, one, other)])
 
     return run
 
 
 def blocks_of(entries: DataFrame, most: int = BLOCK) -> DataFrame:
-    """The cells of ``entries`` (cell, node, label, n, vector) in blocks of ``most`` entries at most.
+    """The cells of ``entries`` (cell, node, label, n, vector) in blocks of about ``most`` entries.
 
     Rows are sorted over all tasks, so that a cell of any size is cut into blocks.
     """
@@ -535,8 +715,8 @@ def open_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
 
     Every block is joined with itself and every other one of its cell.
     """
-    within = blocks.mapInArrow(_within(lambda row: _linkable(rule, row, row)), "a bigint, b bigint")
-    several = blocks.groupBy("cell").agg(F.count("*").alias("held")).filter("held > 1").select("cell")
+    within = blocks.mapInArrow(_within(lambda row: _open(row, rule)), "a bigint, b bigint")
+    several = blocks.filter("cell IS NOT NULL").groupBy("cell").agg(F.count("*").alias("held")).filter("held > 1").select("cell")
     heads = stored(blocks.select("cell", "block", "low", "high").join(several, "cell"), "jaccard-heads")
     x, y = (heads.select("cell", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high")]) for s in "xy")
     two = x.join(y, "cell").filter(
@@ -545,7 +725,7 @@ def open_pairs(blocks: DataFrame, rule: Rule) -> DataFrame:
         & (100 * F.col("high_y") >= rule.percent * F.col("low_x"))
     )
     whole = lambda s: blocks.select(
-        F.col("block").alias(f"block_{s}"), F.struct("nodes", "labels", "sizes", "vectors").alias(s)
+        F.col("block").alias(f"block_{s}"), F.struct("cells", "nodes", "labels", "sizes", "vectors").alias(s)
     )
     across = (
         two.select("block_x", "block_y")
