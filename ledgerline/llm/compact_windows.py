@@ -50,6 +50,8 @@ PERCENT = 80
 BANDS = 3
 #: Passages of a block of the other side.
 BLOCK = 1024
+#: Pairs of runs of shingles that are taken up at a time.
+COMPARED = 2000
 #: A cell with so many rows goes by the rare shingles of their passages.
 CROWD = 100
 #: Shingles in more rows of such a cell are put in order by how many, the others come before them.
@@ -106,9 +108,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _text_shingles(text: str) -> np.ndarray:
-    _, words = hashed_words(pa.array([text], pa.string()))
-    return shingles(words, SHINGLE)
+def _text_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches in parts, with the shingles of each text; many texts are hashed at once."""
+    for batch in parts(batches, 4_000_000):
+        offsets, words = hashed_words(batch["text"])
+        hashes = shingles(words, SHINGLE)
+        ends = np.maximum(offsets[1:] - SHINGLE + 1, offsets[:-1])
+        yield batch, [hashes[a:b] for a, b in zip(offsets[:-1].tolist(), ends.tolist(), strict=True)]
 
 
 _SLICE = "node bigint, centre bigint, block int, first int, shift int, shingles binary"
@@ -119,9 +125,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ``first`` is the first passage, ``shift`` leads to its place in the centre.
     """
-    for batch in batches:
-        for i in range(batch.num_rows):
-            own = _text_shingles(batch["text"][i].as_py())
+    for batch, held in _text_shingles(batches):
+        for i, own in enumerate(held):
             wanted = batch["wanted"][i].values
             centre, place, other = (wanted.field(k).to_numpy().astype(np.int64) for k in range(3))
             shift = other - place
@@ -157,9 +162,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The blocks wanted of each text."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            own = _text_shingles(batch["text"][i].as_py())
+    for batch, held in _text_shingles(batches):
+        for i, own in enumerate(held):
             wanted = batch["wanted"][i].as_py()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -205,25 +209,91 @@ def alike(own: np.ndarray, theirs: np.ndarray) -> np.ndarray:
     return 100 * both >= PERCENT * (2 * WIDTH - both)
 
 
+def _spread(rows: list[np.ndarray], sizes: np.ndarray, pad: int) -> np.ndarray:
+    """Rows side by side, filled up with values that differ from each other and those of another ``pad``."""
+    width = int(sizes.max())
+    out = np.broadcast_to(np.arange(width, dtype=np.uint64) * np.uint64(2) + np.uint64(pad), (len(rows), width)).copy()
+    out[np.arange(width) < sizes[:, None]] = np.concatenate(rows)
+    return out
+
+
+def _alike_rows(own: list[np.ndarray], theirs: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """``alike`` of each of many pairs of the same ``sizes``, a row each; no passage ends beyond the size."""
+    count, width = len(own), int(sizes.max())
+    both = np.concatenate([_spread(own, sizes, 0), _spread(theirs, sizes, 1)], axis=1)
+    order = np.argsort(both, axis=1, kind="stable")
+    ordered = np.take_along_axis(both, order, 1)
+    row, at = np.nonzero(ordered[:, 1:] == ordered[:, :-1])
+    here, there = order[row, at], order[row, at + 1] - width
+    # a shingle that repeats on one side: the row is compared by itself
+    odd = np.zeros(count, bool)
+    odd[row[(here >= width) | (there < 0)]] = True
+    fits = ~odd[row]
+    row, here, there = row[fits], here[fits], there[fits]
+    n = width - WIDTH + 1
+    # a common shingle counts for the passages that hold it on both sides
+    low = np.maximum(np.maximum(here, there) - WIDTH + 1, 0)
+    high = np.minimum(np.minimum(here, there), n - 1) + 1
+    fits = high > low
+    row, low, high = row[fits] * (n + 1), low[fits], high[fits]
+    step = np.bincount(row + low, minlength=count * (n + 1)) - np.bincount(row + high, minlength=count * (n + 1))
+    held = np.cumsum(step.reshape(count, n + 1), axis=1)[:, :n]
+    near = (100 * held >= PERCENT * (2 * WIDTH - held)) & (np.arange(n) < sizes[:, None] - WIDTH + 1)
+    for i in np.flatnonzero(odd):
+        near[i] = False
+        near[i, : sizes[i] - WIDTH + 1] = alike(own[i], theirs[i])
+    return near
+
+
+def near_runs(own: list[np.ndarray], theirs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, first and last passage (exclusive) of each run of passages that are ``alike``.
+
+    Pairs of about the same size are worked on many at a time.
+    """
+    sizes = np.fromiter((min(len(x), len(y)) for x, y in zip(own, theirs, strict=True)), np.int64, len(own))
+    order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] >= WIDTH]
+    found = [np.zeros((3, 0), np.int64)]
+    while len(order):
+        # sizes that differ by an eighth at most, and some cells in all
+        least = sizes[order[0]]
+        some = min(int(np.searchsorted(sizes[order], least + least // 8, "right")), max(1, 300_000 // int(least)))
+        part, order = order[:some], order[some:]
+        size = sizes[part]
+        cut = [[side[i][:n] for i, n in zip(part.tolist(), size.tolist(), strict=True)] for side in (own, theirs)]
+        near = _alike_rows(*cut, size).astype(np.int8)
+        edges = np.diff(near, axis=1, prepend=0, append=0)
+        row, first = np.nonzero(edges == 1)
+        found.append(np.stack([part[row], first, np.nonzero(edges == -1)[1]]))
+    return tuple(np.concatenate(found, axis=1))
+
+
+def _told(node: np.ndarray, partner: np.ndarray, spans: tuple, others: tuple) -> pa.RecordBatch:
+    """Each hit from both sides."""
+    columns = (
+        np.concatenate([node, partner]), np.concatenate([partner, node]),
+        *(np.concatenate(x).astype(np.int32) for x in zip(spans, others, strict=True)),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "partner", "first", "last"])
+
+
+def _shingles_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        columns = (batch[k].to_pylist() for k in ("node", "centre", "block", "first", "shift"))
-        for i, (node, centre, block, first, shift) in enumerate(zip(*columns, strict=True)):
-            own = np.frombuffer(batch["shingles"][i].as_buffer(), np.uint64)
-            theirs = np.frombuffer(batch["theirs"][i].as_buffer(), np.uint64)
-            near = alike(own, theirs[first + shift - block * BLOCK :])
-            edges = np.flatnonzero(np.diff(near.astype(np.int8), prepend=0, append=0)).tolist()
-            for a, b in zip(edges[::2], edges[1::2], strict=True):
-                a, b = first + a, first + b - 1 + PASSAGE
-                rows.append((node, centre, a, b))
-                rows.append((centre, node, a + shift, b + shift))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                ["node", "partner", "first", "last"],
+    for whole in batches:
+        for at in range(0, whole.num_rows, COMPARED):
+            batch = whole.slice(at, COMPARED)
+            node, centre, block, first, shift = (
+                batch[k].to_numpy().astype(np.int64) for k in ("node", "centre", "block", "first", "shift")
             )
+            theirs = _shingles_of(batch["theirs"])
+            begins = (first + shift - block * BLOCK).tolist()
+            i, a, b = near_runs(_shingles_of(batch["shingles"]), [t[k:] for t, k in zip(theirs, begins, strict=True)])
+            a, b, shift = first[i] + a, first[i] + b - 1 + PASSAGE, shift[i]
+            if len(i):
+                yield _told(node[i], centre[i], (a, b), (a + shift, b + shift))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -295,9 +365,8 @@ _AROUND = "node bigint, cell bigint, place int, open boolean, crowded boolean, b
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of all passages that hold a place, for each row wanted of each text."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            own = _text_shingles(batch["text"][i].as_py())
+    for batch, held in _text_shingles(batches):
+        for i, own in enumerate(held):
             everything = batch["wanted"][i].values
             for a in range(0, len(everything), 10_000):
                 wanted = everything.slice(a, 10_000)
@@ -315,25 +384,22 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _compare_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        columns = (batch[k].to_pylist() for k in ("node", "place", "back", "partner", "partner_place", "partner_back"))
-        for i, (node, place, back, partner, other, other_back) in enumerate(zip(*columns, strict=True)):
-            own = np.frombuffer(batch["around"][i].as_buffer(), np.uint64)
-            theirs = np.frombuffer(batch["partner_around"][i].as_buffer(), np.uint64)
-            both = min(back, other_back)
-            near = alike(own[back - both :], theirs[other_back - both :])
-            edges = np.flatnonzero(np.diff(near.astype(np.int8), prepend=0, append=0)).tolist()
-            for a, b in zip(edges[::2], edges[1::2], strict=True):
-                a, b = a - both, b - both - 1 + PASSAGE
-                rows.append((node, partner, place + a, place + b))
-                rows.append((partner, node, other + a, other + b))
-        if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                ["node", "partner", "first", "last"],
+    for whole in batches:
+        for at in range(0, whole.num_rows, COMPARED):
+            batch = whole.slice(at, COMPARED)
+            node, place, back, partner, other, other_back = (
+                batch[k].to_numpy().astype(np.int64)
+                for k in ("node", "place", "back", "partner", "partner_place", "partner_back")
+            )
+            both = np.minimum(back, other_back)
+            own, theirs = (
+                [x[k:] for x, k in zip(_shingles_of(batch[c]), skipped.tolist(), strict=True)]
+                for c, skipped in (("around", back - both), ("partner_around", other_back - both))
             )
+            i, a, b = near_runs(own, theirs)
+            a, b = a - both[i], b - both[i] - 1 + PASSAGE
+            if len(i):
+                yield _told(node[i], partner[i], (place[i] + a, place[i] + b), (other[i] + a, other[i] + b))
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
