@@ -52,6 +52,8 @@ from ledgerline.llm.word_hashes import hashed_words, inside, mixed, parts, shing
 from ledgerline.sources import read_table
 
 GROUPS = 256
+#: Bytes of texts that are cut into shingles at a time.
+TEXTS = 4_000_000
 #: Entries of a leaf of the R-tree, and of a block of a cell.
 LEAF = 32
 BLOCK = 8192
@@ -158,7 +160,7 @@ _KINDS = {1: "u1", 2: "<u2", 4: "<i4"}
 
 def _sketch(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, TEXTS):
             n_rows = batch.num_rows
             text, hashes = shingle_sets(batch["text"], rule.size)
             counts = np.bincount(text, minlength=n_rows)
@@ -221,7 +223,7 @@ def least_difference(one: np.ndarray, other: np.ndarray) -> int:
 
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in parts(batches, TEXTS):
             text, hashes = shingle_sets(batch["text"], size)
             counts = np.bincount(text, minlength=batch.num_rows)
             ends = np.append(0, np.cumsum(counts))
